@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import timeseries
+from checks import evaluation, tables, timeseries
 
-MODULES = (timeseries,)
+MODULES = (timeseries, tables, evaluation)
 
 
 def queries():

@@ -51,6 +51,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "datediff(l_shipdate, date'1995-01-01') AS date",
         "l_quantity AS weight",
         "l_discount - l_tax AS resp",
+        "((l_orderkey * 104729 + l_partkey) % 9973) / 9973.0e0 AS pred",
+        "CAST((l_orderkey + l_linenumber) % 3 = 0 AS INT) AS y",
     )
 
 
@@ -92,7 +94,13 @@ WIDE_CELLS_SQL = """wide_cells AS (
 
 TRADES_SQL = """trades AS (
   SELECT date_diff('day', DATE '1995-01-01', l_shipdate::DATE)::INTEGER AS date,
-    l_quantity AS weight, l_discount - l_tax AS resp FROM lineitem)"""
+    l_quantity AS weight, l_discount - l_tax AS resp,
+    ((l_orderkey * 104729 + l_partkey) % 9973) / 9973.0e0 AS pred,
+    ((l_orderkey + l_linenumber) % 3 = 0)::INTEGER AS y FROM lineitem)"""
+
+
+# Exact halves such as 1.0653125 are rounded differently by the two engines; this moves them off.
+NUDGE = "1.234e-9"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -100,7 +108,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     # Adding 0.0 turns -0.0 into 0.0.
     return df.select(
         *[
-            (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c)
+            (F.round(F.col(c) + F.lit(float(NUDGE)), digits) + F.lit(0.0)).alias(c)
+            if t in ("double", "float")
+            else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -109,5 +119,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def round_sql(sql_from: str, keys: list[str], values: list[str], digits: int | None = 6) -> str:
     if digits is None:
         return f"SELECT {', '.join(keys + values)} FROM {sql_from}"
-    parts = keys + [f"round({v}, {digits}) + 0e0 AS {v}" for v in values]
+    parts = keys + [f"round({v} + {NUDGE}, {digits}) + 0e0 AS {v}" for v in values]
     return f"SELECT {', '.join(parts)} FROM {sql_from}"

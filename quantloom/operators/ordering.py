@@ -20,9 +20,9 @@ SMALL_ROWS = 100_000
 
 
 def range_runs(df: DataFrame, order_by: Sequence[str], label: str) -> DataFrame:
-    """Store ``df`` in range partitions of ``order_by``; adds ``part`` and ``pos``.
+    """Store ``df`` in range partitions of ``order_by``; adds ``_part`` and ``_pos``.
 
-    All rows of part i sort before those of part i+1 and ``pos`` counts from 0 inside
+    All rows of part i sort before those of part i+1 and ``_pos`` counts from 0 inside
     a part. Range bounds are sampled anew in every job, so the layout is stored before
     anything is derived from it. ``order_by`` must be unique or nearly so: equal keys
     share a part.
@@ -36,27 +36,27 @@ def range_runs(df: DataFrame, order_by: Sequence[str], label: str) -> DataFrame:
     )
     return stored.select(
         *df.columns,
-        F.shiftright("_run", _POS_BITS).cast("int").alias("part"),
-        F.col("_run").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("pos"),
+        F.shiftright("_run", _POS_BITS).cast("int").alias("_part"),
+        F.col("_run").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_pos"),
     )
 
 
 def _before(per_part: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Exclusive running sum over parts; ``per_part`` has one row per part (and group)."""
-    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return per_part.select(
-        *by, "part", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("before")
+        *by, "_part", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("_before")
     )
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id") -> DataFrame:
     """Dense 0-based index in the order of ``order_by`` (must be unique)."""
     runs = range_runs(df, order_by, "ordered")
-    sizes = runs.groupBy("part").agg((F.max("pos") + 1).alias("rows"))
+    sizes = runs.groupBy("_part").agg((F.max("_pos") + 1).alias("_rows"))
     # One row per range partition, so never more than spark.sql.shuffle.partitions.
-    starts = F.broadcast(_before(sizes, "rows"))
-    return runs.join(starts, "part").select(
-        (F.col("before") + F.col("pos")).alias(name), *df.columns
+    starts = F.broadcast(_before(sizes, "_rows"))
+    return runs.join(starts, "_part").select(
+        (F.col("_before") + F.col("_pos")).alias(name), *df.columns
     )
 
 
@@ -70,13 +70,13 @@ def running_total(
     """
     runs = range_runs(df, [*by, order_by], "running")
     # At most one row per range partition plus one per group boundary.
-    starts = _before(runs.groupBy(*by, "part").agg(F.sum(value).alias("subtotal")), "subtotal", by)
+    starts = _before(runs.groupBy(*by, "_part").agg(F.sum(value).alias("_subtotal")), "_subtotal", by)
     inside = (
-        Window.partitionBy(*by, "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     )
     local = runs.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(starts, [*by, "part"]).select(
-        *df.columns, (F.col("before") + F.col("_inside")).alias(name)
+    return local.join(starts, [*by, "_part"]).select(
+        *df.columns, (F.col("_before") + F.col("_inside")).alias(name)
     )
 
 

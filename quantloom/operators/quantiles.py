@@ -16,6 +16,7 @@ from quantloom.session import materialise
 
 GROUP_ROWS = 1_000_000
 CELLS = 64
+BROADCAST_TARGETS = 50_000
 
 
 def exact_quantiles(
@@ -57,14 +58,15 @@ def _narrowed(values, sizes, by, qs, group_rows) -> DataFrame:
     # Equal values become one row with a count, so a value held by a third of all rows is one row.
     current = values.groupBy(cell.alias("cell"), "value").agg(F.count("*").alias("c"))
     current = materialise(current, "distinct")
+    # One row per target, so bounded by groups x quantiles; a hot cell must not be shuffled whole.
+    small = F.broadcast if targets.count() <= BROADCAST_TARGETS else lambda table: table
     while (_largest(current) or 0) > group_rows:
         splits = current.groupBy("cell").agg(
             F.array_distinct(
                 F.percentile_approx("value", [i / CELLS for i in range(1, CELLS)], F.lit(4 * CELLS))
             ).alias("splits")
         )
-        # One row of at most 63 numbers per open cell, and a cell is open only for a target.
-        cut = current.join(F.broadcast(splits), "cell").select(
+        cut = current.join(small(splits), "cell").select(
             "cell", "value", "c",
             F.size(F.filter("splits", lambda s: s < F.col("value"))).alias("part"),
         )
@@ -83,7 +85,7 @@ def _narrowed(values, sizes, by, qs, group_rows) -> DataFrame:
             ),
             "targets",
         )
-        wanted = targets.select("cell").distinct()
+        wanted = small(targets.select("cell").distinct())
         current = materialise(
             cut.select(F.concat_ws("/", "cell", "part").alias("cell"), "value", "c").join(
                 wanted, "cell", "left_semi"

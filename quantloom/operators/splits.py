@@ -36,7 +36,7 @@ def purged_folds(
 ) -> list[Fold]:
     """Train on the groups before each test chunk, without those within ``gap`` of it.
 
-    ``max_train`` keeps the latest groups only and applies before the gap. Only the group
+    ``max_train`` keeps the latest groups only and applies before the gap; 0 means no limit. Only the group
     values at chunk borders, at most ``3 n`` of them, reach the driver.
     """
     if group not in df.columns:
@@ -45,8 +45,8 @@ def purged_folds(
     if total < n + 1:
         raise ValueError(f"Not enough groups ({total}) for {n} splits")
     bounds = chunk_bounds(total, n + 1)
-    firsts = [max(0, bounds[i + 1] - max_train) if max_train is not None else 0 for i in range(n)]
-    wanted = {*bounds[1:-1], *firsts, *[b - 1 for b in bounds[2:]]}
+    firsts = [max(0, bounds[i + 1] - max_train) if max_train else 0 for i in range(n)]
+    wanted = {*bounds[:-1], *firsts, *[b - 1 for b in bounds[2:]]}
     value = {
         row["position"]: row[group]
         for row in keys.where(F.col("position").isin(sorted(wanted))).collect()
@@ -56,7 +56,7 @@ def purged_folds(
     for i in range(n):
         start, end = value[bounds[i + 1]], value[bounds[i + 2] - 1]
         limit = start - gap if gap > 0 else start
-        if max_train == 0 or not value[firsts[i]] < limit:
+        if not value[firsts[i]] < limit:
             continue  # nothing left to train on
         folds.append(
             Fold(len(folds), (g >= value[firsts[i]]) & (g < limit), (g >= start) & (g <= end))
@@ -66,7 +66,8 @@ def purged_folds(
 
 def time_series_folds(df: DataFrame, row_id: str, n: int = 5) -> list[Fold]:
     """Expanding window over the row order; needs the dense ``row_id``."""
-    rows = (df.agg(F.max(row_id)).first()[0] or -1) + 1
+    last = df.agg(F.max(row_id)).first()[0]
+    rows = 0 if last is None else last + 1
     size = rows // (n + 1)
     if size == 0:
         raise ValueError(f"Not enough rows ({rows}) for {n} splits")
