@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import evaluation, tables, timeseries
+from checks import evaluation, fitted, tables, timeseries
 
-MODULES = (timeseries, tables, evaluation)
+MODULES = (timeseries, tables, evaluation, fitted)
 
 
 def queries():

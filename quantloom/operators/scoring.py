@@ -27,13 +27,13 @@ def auc(df: DataFrame, pred: str, y: str, by: Sequence[str] = ()) -> DataFrame:
         df.where(F.col(pred).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, F.col(pred).alias("_score"))
         .agg(
-            F.count_if(F.col(y) == 1).alias("_pos"),
-            F.count_if(F.col(y) != 1).alias("_neg"),
+            F.count_if(F.col(y) == 1).alias("_positives"),
+            F.count_if(F.col(y) != 1).alias("_negatives"),
         )
     )
-    ranked = running_total(scores, by, "_score", "_neg", "_below")
-    won = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
-    pairs = F.sum("_pos").cast("double") * F.sum("_neg")
+    ranked = running_total(scores, by, "_score", "_negatives", "_below")
+    won = F.sum(F.col("_positives") * (F.col("_below") + F.col("_negatives") / 2))
+    pairs = F.sum("_positives").cast("double") * F.sum("_negatives")
     return ranked.groupBy(*by).agg(F.coalesce(ratio(won, pairs), F.lit(0.5)).alias("auc"))
 
 
@@ -87,7 +87,7 @@ def fold_report(
 ) -> DataFrame:
     """One row per fold: train and test size, metrics, trades, mean return and weight."""
     tested = assign(df, folds, ("test",))
-    return _fold_rows(tested, train_sizes(df, folds), pred, y, r, metrics, threshold)
+    return report_predictions(tested, train_sizes(df, folds), pred, y, r, metrics, threshold)
 
 
 def train_sizes(df: DataFrame, folds: Sequence[Fold]) -> DataFrame:
@@ -97,7 +97,16 @@ def train_sizes(df: DataFrame, folds: Sequence[Fold]) -> DataFrame:
     return sizes.withColumn("fold", F.col("fold").cast("int"))
 
 
-def _fold_rows(tested, sizes, pred, y, r, metrics, threshold=0.5) -> DataFrame:
+def report_predictions(
+    tested: DataFrame,
+    sizes: DataFrame,
+    pred: str,
+    y: str,
+    r: Roles,
+    metrics: Sequence[str] = METRICS,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """A fold report from test rows that carry their ``fold``."""
     made = metric_columns(pred, y, threshold)
     made["utility"] = utility_columns(F.col(pred), r, threshold)
     report = tested.groupBy("fold").agg(
