@@ -1,10 +1,10 @@
-"""All registered queries."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from checks import evaluation, fitted, tables, timeseries
+from checks import evaluation, fitted, strategy, tables, timeseries
 
-MODULES = (timeseries, tables, evaluation, fitted)
+MODULES = (strategy, timeseries, tables, evaluation, fitted)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return queries()["rolling_zscore"](spark, sf_dir)
+    return strategy.strategy(spark, sf_dir)

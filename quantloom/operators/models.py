@@ -63,7 +63,7 @@ class ToVector(Transformer, HasFeaturesCol, HasOutputCol, DefaultParamsReadable,
             raise ValueError(f"Missing features: {missing}")
         positions = [present[n] for n in wanted]
         whole = positions == list(range(len(present)))
-        values = F.col(column) if whole else at_positions(column, positions)
+        values = F.col(column) if whole else at_positions(column, positions, len(present))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(values))
 
 
@@ -257,7 +257,7 @@ def training_history(model: PipelineModel, train: DataFrame, validation: DataFra
     trees, to_vector = _trees(model), model.stages[0]
 
     def losses(df: DataFrame) -> list[float]:
-        rows = to_vector.transform(df).withColumn(y, F.col(y).cast("double"))
+        rows = to_vector.transform(df).withColumn(_WEIGHT, F.lit(1.0))
         return list(trees.evaluateEachIteration(rows))
 
     rows = [

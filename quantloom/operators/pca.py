@@ -98,7 +98,7 @@ class PcaReducerModel(Model, HasFeaturesCol, HasOutputCol, MLReadable, MLWritabl
         positions = [present[n] for n in self.names]
         if positions == list(range(len(present))):
             return F.col(column)
-        return at_positions(column, positions)
+        return at_positions(column, positions, len(present))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         mean, scale, loadings = self.mean, self.scale, self.loadings

@@ -33,10 +33,22 @@ def cells(df: DataFrame, column: str = FEATURES) -> DataFrame:
     return df.select(F.posexplode(column).alias("f", "x"))
 
 
-def at_positions(column: str, positions: list[int]) -> Column:
-    """The elements at the given positions."""
-    chosen = double_array(positions).cast("array<int>")
-    return F.transform(chosen, lambda i: F.get(F.col(column), i))
+def at_positions(column: str, positions: list[int], width: int) -> Column:
+    """The elements at ``positions`` of an array of ``width`` elements, in that order.
+
+    The array is named once and outside every lambda: Spark may put its defining expression
+    in place of the name, and inside a lambda that would be evaluated per element.
+    """
+    place = [-1] * width
+    for target, source in enumerate(positions):
+        place[source] = target
+    placed = F.zip_with(
+        column, double_array(place), lambda x, at: F.struct(at.alias("at"), x.alias("x"))
+    )
+    kept = F.filter(placed, lambda pair: pair["at"] >= 0)
+    if list(positions) != sorted(positions):
+        kept = F.array_sort(kept)
+    return F.transform(kept, lambda pair: pair["x"])
 
 
 def missing_total(df: DataFrame, column: str = FEATURES) -> int:
@@ -116,7 +128,7 @@ class ImputeModel(Model, _Stage):
         if absent:
             raise ValueError(f"Missing features: {absent}")
         at = {n: i for i, n in enumerate(names)}
-        values = F.col(column) if kept == names else at_positions(column, [at[n] for n in kept])
+        values = F.col(column) if kept == names else at_positions(column, [at[n] for n in kept], len(names))
         fills = double_array(self.getOrDefault("fills"))
         return self._named(dataset, F.zip_with(values, fills, lambda x, m: F.coalesce(x, m)), kept)
 
@@ -180,7 +192,7 @@ class DropFeatures(Model, _Stage):
         kept = [i for i, n in enumerate(names) if n not in gone]
         if len(kept) == len(names):
             return dataset
-        return self._named(dataset, at_positions(column, kept), [names[i] for i in kept])
+        return self._named(dataset, at_positions(column, kept, len(names)), [names[i] for i in kept])
 
 
 def feature_variances(df: DataFrame, column: str = FEATURES) -> DataFrame:
@@ -211,8 +223,9 @@ class LowVariance(Estimator, _Stage):
 
 def correlation_matrix(df: DataFrame, positions: list[int], column: str = FEATURES) -> np.ndarray:
     """Pearson correlations of the chosen features, one tree-aggregated pass."""
-    whole = positions == list(range(len(feature_names(df, column))))
-    values = F.col(column) if whole else at_positions(column, positions)
+    width = len(feature_names(df, column))
+    whole = positions == list(range(width))
+    values = F.col(column) if whole else at_positions(column, positions, width)
     return Correlation.corr(df.select(array_to_vector(values).alias("v")), "v").first()[0].toArray()
 
 
