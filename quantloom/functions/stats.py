@@ -36,4 +36,5 @@ def student_p(t: Column, freedom: Column) -> Column:
         F.atan(t / F.sqrt(v)) + F.when(freedom > 1, sine * F.sqrt(cosine2) * series).otherwise(0.0)
     ) * (2 / math.pi)
     inside = F.when(odd, inside_odd).otherwise(sine * series)
-    return F.when(t == float("inf"), 0.0).otherwise(F.greatest(1 - inside, F.lit(0.0)))
+    outside = F.when(inside > 1, 0.0).otherwise(1 - inside)
+    return F.when(t == float("inf"), 0.0).otherwise(outside)

@@ -143,6 +143,8 @@ def assign(df: DataFrame, folds: Sequence[Fold], roles: Sequence[str] = ("train"
             place = F.struct(F.lit(fold.number).alias("fold"), F.lit(role).alias("role"))
             places.append(F.when(getattr(fold, role), place))
     columns = [c for c in df.columns if c != "fold"]
+    if not places:
+        return df.where(F.lit(False)).select(F.lit(0).alias("fold"), F.lit("").alias("role"), *columns)
     placed = df.select(*columns, F.explode(F.array_compact(F.array(*places))).alias("_place"))
     return placed.select("_place.fold", "_place.role", *columns)
 
