@@ -419,4 +419,42 @@ SQL = {
         ["ensemble_utility", "baseline_utility", "absolute_improvement", "improvement_percentage"],
     ),
 }
+# No two of the three tick features are correlated, so each qualifying pair would drop one feature.
+STATS = f"""WITH {CELLS_SQL}, fills AS (SELECT feature, median(x) AS fill FROM cells GROUP BY feature),
+  filled AS (SELECT row_id, feature, coalesce(x, fill) AS x FROM cells JOIN fills USING (feature)),
+  spread AS (SELECT feature FROM filled GROUP BY feature HAVING var_samp(x) > 0.01),
+  close_pairs AS (SELECT a.feature FROM filled a JOIN filled b ON a.row_id = b.row_id AND a.feature < b.feature
+    GROUP BY a.feature, b.feature HAVING abs(corr(a.x, b.x)) >= 0.95),
+  sizes AS (SELECT count(DISTINCT row_id) AS n, count(DISTINCT feature) AS d, count(*) - count(x) AS gaps FROM cells),
+  low AS (SELECT count(*) AS d FROM spread), near AS (SELECT low.d - (SELECT count(*) FROM close_pairs) AS d FROM low),
+  steps AS (SELECT 0 AS position, 'input' AS step, d, gaps FROM sizes
+    UNION ALL SELECT 1, 'imputation', d, 0 FROM sizes
+    UNION ALL SELECT 2, 'low_variance_removal', d, 0 FROM low
+    UNION ALL SELECT 3, 'correlation_removal', d, 0 FROM near
+    UNION ALL SELECT 4, 'final_scaling', d, 0 FROM near
+    UNION ALL SELECT 5, 'output', d, 0 FROM near),
+  stats AS (SELECT position, step, steps.d::INTEGER AS n_features, n AS n_samples, steps.gaps::BIGINT AS missing_values,
+    steps.gaps * 100e0 / (n * steps.d) AS missing_percentage, n * steps.d * 8e0 / 1024 / 1024 AS memory_usage_mb
+    FROM steps, sizes)"""
+SQL["prep_stage_stats"] = f"{STATS} " + round_sql(
+    "stats", ["position", "step", "n_features", "n_samples", "missing_values"], ["missing_percentage", "memory_usage_mb"]
+)
+SQL["prep_summary"] = (
+    f"""{STATS}, moved AS (SELECT *, lag(n_features) OVER (ORDER BY position) AS before FROM stats),
+  out AS (SELECT position, step, before AS features_before, n_features AS features_after,
+    before - n_features AS features_removed, (before - n_features) * 100e0 / before AS removal_percentage,
+    missing_percentage, memory_usage_mb FROM moved WHERE step NOT IN ('input', 'output')) """
+    + round_sql(
+        "out",
+        ["position", "step", "features_before", "features_after", "features_removed"],
+        ["removal_percentage", "missing_percentage", "memory_usage_mb"],
+    )
+)
+SQL["prep_reduction"] = (
+    f"""{STATS}, ends AS (SELECT max(n_features) FILTER (step = 'input') AS original_features,
+    max(n_features) FILTER (step = 'output') AS final_features FROM stats),
+  out AS (SELECT *, final_features / original_features::DOUBLE AS reduction_ratio,
+    (1 - final_features / original_features::DOUBLE) * 100 AS reduction_percentage FROM ends) """
+    + round_sql("out", ["original_features", "final_features"], ["reduction_ratio", "reduction_percentage"])
+)
 SQL["correlation_pairs_in_blocks"] = SQL["correlation_pairs"]

@@ -116,6 +116,26 @@ def feature_set(spark, sf_dir):
     return rounded(feature_values(made, ["row_id"]))
 
 
+FAMILIES = {
+    "cross_sectional": "^(rank_|n_|feature_(mean|std|median|skew|kurt)$)",
+    "interaction": "_(mult|div)$",
+    "lag": "_lag_[0-9]+$",
+    "momentum": "_(return|momentum|roc|trend)_[0-9]+$",
+    "rolling": "_(mean|std|min|max|zscore|pct_from_mean)_[0-9]+$",
+    "volatility": "_(volatility|atr|cv)_[0-9]+$",
+    "original": "^feature_[0-9]+$",
+}
+
+
+def family_counts(spark, sf_dir):
+    """Columns per family by the summary, with the values the families hold over all rows."""
+    table = ticks(spark, sf_dir)
+    made = feature_values(all_features(table, R, PART, limit=4), ["row_id"])
+    family = F.coalesce(*[F.when(F.col("feature").rlike(p), n) for n, p in FAMILIES.items()])
+    present = made.groupBy(family.alias("family")).agg(F.count("value").alias("present"))
+    return feature_summary(table, R, PART, limit=4).join(present, "family")
+
+
 def _feature_set_sql() -> str:
     per_feature = {
         "lag_1": lag(1),
@@ -145,9 +165,8 @@ def _feature_set_sql() -> str:
     ]
     union += [f"SELECT row_id, '{n}' AS feature, {sql} AS value FROM ticks" for n, sql in pairs]
     return (
-        f"WITH {CELLS_SQL}{FILLED}, per_feature AS (SELECT row_id, feature, {wide_part} FROM moves), "
+        f"{CELLS_SQL}{FILLED}, per_feature AS (SELECT row_id, feature, {wide_part} FROM moves), "
         f"{cross_sql('cells')}, every AS ({' UNION ALL '.join(union)}) "
-        + round_sql("every", ["row_id", "feature"], ["value"])
     )
 
 
@@ -211,7 +230,7 @@ QUERIES = {
     "cross_section_with_gaps": lambda spark, sf: rounded(cross_section(ticks(spark, sf), R)),
     "interactions": lambda spark, sf: rounded(interactions(wide(spark, sf), WIDE)),
     "all_features": feature_set,
-    "feature_summary": lambda spark, sf: feature_summary(raw_ticks(spark, sf), R),
+    "feature_summary": family_counts,
 }
 
 SQL = {
@@ -259,6 +278,9 @@ SQL = {
     + ", ".join(f"{sql} AS {n}" for n, sql in PAIRS.items())
     + " FROM wide) "
     + round_sql("out", ["row_id"], list(PAIRS)),
-    "all_features": _feature_set_sql(),
+    "all_features": f"WITH {_feature_set_sql()}" + round_sql("every", ["row_id", "feature"], ["value"]),
+    "feature_summary": f"WITH {_feature_set_sql()} SELECT CASE "
+    + " ".join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, p in FAMILIES.items())
+    + " END AS family, count(DISTINCT feature) AS columns, count(value) AS present FROM every GROUP BY family",
 }
 SQL["scan_zip_csv"] = SQL["scan_csv"]

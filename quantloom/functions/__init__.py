@@ -1,3 +1,3 @@
-from quantloom.functions.expressions import double_array, finite, full_window, ratio, total
+from quantloom.functions.expressions import double_array, elements, finite, full_window, ratio, total
 
-__all__ = ["double_array", "finite", "full_window", "ratio", "total"]
+__all__ = ["double_array", "elements", "finite", "full_window", "ratio", "total"]

@@ -35,3 +35,12 @@ def double_array(values: Iterable[float]) -> Column:
 def total(array: Column) -> Column:
     """Sum of an array of doubles."""
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def elements(array: str, position: str = "f", value: str = "x") -> Column:
+    """One row per element of a never-empty array.
+
+    The outer variant, because for the plain one Spark adds a filter on the array's size, which
+    computes the array a second time.
+    """
+    return F.posexplode_outer(array).alias(position, value)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions import finite
+from quantloom.functions import elements, finite
 from quantloom.operators.crosssection import CROSS_SECTION, add_cross_section, interaction_columns
 from quantloom.operators.indicators import ALL_INDICATORS, IndicatorSet, indicator_rows
 from quantloom.roles import Roles, feature_columns
@@ -38,7 +38,7 @@ def pack_features(df: DataFrame, r: Roles, keep: Sequence[str] = ()) -> DataFram
 def feature_values(df: DataFrame, keys: Sequence[str], column: str = FEATURES) -> DataFrame:
     """One row per element: ``(*keys, feature, value)``."""
     names = F.array(*[F.lit(n) for n in feature_names(df, column)])
-    return df.select(*keys, F.posexplode(column).alias("_f", "value")).select(
+    return df.select(*keys, elements(column, "_f", "value")).select(
         *keys, names[F.col("_f")].alias("feature"), "value"
     )
 
@@ -74,7 +74,7 @@ def all_features(
                     "f",
                     "x",
                     *[
-                        F.array(*[F.col(o).cast("double") for o in outputs]).alias(f"_{family}")
+                        F.array(*[finite(F.col(o).cast("double")) for o in outputs]).alias(f"_{family}")
                         for family, outputs in families.items()
                         if outputs
                     ],
@@ -91,16 +91,15 @@ def all_features(
         if families[family]:
             parts.append(F.flatten(F.transform("cells", lambda c: c[f"_{family}"])))
             labels += [f"{n}_{o}" for n in names for o in families[family]]
-    parts.append(F.array(*[F.col(c).cast("double") for c in CROSS_SECTION]))
+    parts.append(F.array(*[finite(F.col(c).cast("double")) for c in CROSS_SECTION]))
     labels += CROSS_SECTION
     if families["quantile"]:
         parts.append(F.flatten(F.transform("cells", lambda c: c["_quantile"])))
         labels += [f"{n}_{o}" for n in names for o in families["quantile"]]
     if made:
-        parts.append(F.array(*made.values()))
+        parts.append(F.array(*[finite(c) for c in made.values()]))
         labels += made
-    values = F.transform(F.concat(*parts), finite)
-    return row.select(r.row_id, *keep, named(values, labels))
+    return row.select(r.row_id, *keep, named(F.concat(*parts), labels))
 
 
 def feature_summary(

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions import finite, full_window, ratio
+from quantloom.functions import elements, finite, full_window, ratio
 from quantloom.operators.ordering import block_rows_for, carried_values, with_halo
 from quantloom.roles import Roles, feature_columns
 from quantloom.session import shuffle_partitions
@@ -96,7 +96,7 @@ ALL_INDICATORS = IndicatorSet(
 def feature_rows(
     df: DataFrame, r: Roles, wanted: IndicatorSet, keep: Sequence[str], block_rows: int | None
 ) -> DataFrame:
-    """One row per (block, row, feature): ``block, row_id, own, *keep, f, x``."""
+    """One row per (block, row, feature): ``block, row_id, own, at, *keep, f, x``."""
     names = feature_columns(df, r.features)
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
@@ -117,8 +117,10 @@ def feature_rows(
             F.lit(False).alias("own"),
         )
         blocks = blocks.unionByName(carried, allowMissingColumns=True)
+    # Position from the block's start: a slope is shift-invariant, its precision is not.
+    at = (F.col(r.row_id) - F.col("block") * block_rows).cast("double").alias("at")
     return blocks.repartition(parts, "block").select(
-        "block", r.row_id, "own", *keep, F.posexplode("xs").alias("f", "x")
+        "block", r.row_id, "own", at, *keep, elements("xs")
     )
 
 
@@ -182,10 +184,6 @@ def indicator_rows(
     for w in wanted.quantile_windows:
         need(f"values_{w}")
 
-    if wanted.trend:
-        # Position inside the block: a slope is shift-invariant, its precision is not.
-        first = F.min(r.row_id).over(order)
-        rows = rows.withColumn("at", (F.col(r.row_id) - first).cast("double"))
     stage = rows.select("*", *[c.alias(n) for n, c in base.items()])
     if wanted.quantile_windows:
         stage = _with_quartiles(stage, wanted.quantile_windows)

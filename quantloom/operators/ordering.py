@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import elements
 from quantloom.session import materialise, shuffle_partitions
 
 _POS_BITS = 33  # low bits of monotonically_increasing_id count rows inside a partition
@@ -110,7 +111,7 @@ def carried_values(df: DataFrame, row_id: str, xs: str, look_back: int, block_ro
     """
     segment = F.expr(f"({row_id} + {look_back}) div {block_rows}")
     lasts = materialise(
-        df.select(F.col(row_id), segment.alias("segment"), F.posexplode(xs).alias("f", "x"))
+        df.select(F.col(row_id), segment.alias("segment"), elements(xs))
         .groupBy("segment", "f")
         .agg(F.max_by("x", F.when(F.col("x").isNotNull(), F.col(row_id))).alias("x")),
         "carry",

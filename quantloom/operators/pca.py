@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import total
 from quantloom.operators.featureset import FEATURES, feature_names, named
-from quantloom.operators.selection import at_positions, correlation_matrix
+from quantloom.operators.selection import all_correlations, at_positions
 
 
 class _PcaWriter(MLWriter):
@@ -199,7 +199,7 @@ class PcaReducer(Estimator, HasFeaturesCol, HasOutputCol, DefaultParamsReadable,
             raise ValueError("At least two rows are needed to fit components")
         mean, deviation = stats["mean"].toArray(), stats["std"].toArray()  # divisor n - 1
         flat = stats["min"].toArray() == stats["max"].toArray()
-        matrix = correlation_matrix(dataset, list(range(len(names))), column)
+        matrix = all_correlations(dataset, column)
         matrix[flat, :] = 0.0
         matrix[:, flat] = 0.0
         if self.getOrDefault("scaled"):

@@ -18,19 +18,21 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions import double_array
+from quantloom.functions import double_array, elements
 from quantloom.operators.featureset import FEATURES, all_features, feature_names, named, pack_features
 from quantloom.operators.indicators import ALL_INDICATORS, LOOKBACKS, QUANTILE_WINDOWS, IndicatorSet
 from quantloom.operators.quantiles import exact_quantiles
 from quantloom.roles import Roles
 from quantloom.session import materialise
 
+# A correlation pass keeps width^2 / 2 numbers per task: 16 MB.
+WIDTH = 2000
 STRATEGIES = ("median", "mean", "most_frequent", "constant")
 
 
 def cells(df: DataFrame, column: str = FEATURES) -> DataFrame:
     """One row per element: ``(f, x)``."""
-    return df.select(F.posexplode(column).alias("f", "x"))
+    return df.select(elements(column))
 
 
 def at_positions(column: str, positions: list[int], width: int) -> Column:
@@ -229,8 +231,17 @@ def correlation_matrix(df: DataFrame, positions: list[int], column: str = FEATUR
     return Correlation.corr(df.select(array_to_vector(values).alias("v")), "v").first()[0].toArray()
 
 
+def all_correlations(df: DataFrame, column: str = FEATURES, width: int = WIDTH) -> np.ndarray:
+    """The whole correlation matrix, filled by passes over at most ``width`` features."""
+    total = len(feature_names(df, column))
+    whole = np.empty((total, total))
+    for block in _column_blocks(total, width):
+        whole[np.ix_(block, block)] = correlation_matrix(df, block, column)
+    return whole
+
+
 def correlation_pairs(
-    df: DataFrame, threshold: float = 0.95, column: str = FEATURES, width: int = 2000
+    df: DataFrame, threshold: float = 0.95, column: str = FEATURES, width: int = WIDTH
 ) -> DataFrame:
     """Pairs i < j with absolute correlation at or over the threshold: ``(i, j, a, b, correlation)``.
 

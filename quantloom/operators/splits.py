@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.ordering import small_or_indexed, with_row_id
+from quantloom.operators.ordering import SMALL_ROWS, small_or_indexed, with_row_id
 from quantloom.roles import Roles
 
 STRATEGIES = ("purged_group_ts", "time_series", "stratified")
@@ -83,6 +83,8 @@ def _shuffled_rank(df: DataFrame, y: str, key: str, seed: int) -> DataFrame:
     mixed = df.withColumn("_mix", F.md5(F.concat_ws(":", F.col(key), F.lit(seed))))
     placed = with_row_id(mixed, [y, "_mix", key], "_at").drop("_mix")
     classes = placed.groupBy(y).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    if classes.count() <= SMALL_ROWS:
+        classes = F.broadcast(classes)  # a class may hold most rows: do not shuffle by it
     return placed.join(classes, y).withColumn("_rank", F.col("_at") - F.col("_first"))
 
 
