@@ -146,7 +146,7 @@ def carried_values(df: DataFrame, row_id: str, xs: str, look_back: int, block_ro
 
 def small_or_indexed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
     """Index distinct keys: one window for a short list, the distributed index otherwise."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    keys = materialise(df.select(key).where(F.col(key).isNotNull()).distinct(), "keys")
     n = keys.count()
     if n <= SMALL_ROWS:
         return keys.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1), n
