@@ -366,6 +366,17 @@ SQL = {
     "feature_variances": f"WITH {CELLS_SQL}, out AS (SELECT replace(feature, 'feature_', '')::INTEGER AS f, "
     "var_samp(x) AS variance FROM cells GROUP BY feature) " + round_sql("out", ["f"], ["variance"]),
     "correlation_pairs": f"WITH {RELATED_SQL}, {PAIRS_SQL} " + round_sql("pairs", ["i", "j", "a", "b"], ["correlation"]),
+    # The greedy pass as a recursion over the pairs in order.
+    "correlation_filter": f"""WITH RECURSIVE {RELATED_SQL}, {PAIRS_SQL},
+      spread AS (SELECT i, var_samp(x) AS v FROM rel GROUP BY i),
+      ordered AS (SELECT row_number() OVER (ORDER BY p.i, p.j) AS k, p.i, p.j, a.v AS vi, b.v AS vj
+        FROM pairs p JOIN spread a ON a.i = p.i JOIN spread b ON b.i = p.j),
+      walk AS (SELECT 0::BIGINT AS k, []::INTEGER[] AS gone UNION ALL
+        SELECT o.k, CASE WHEN list_contains(gone, o.i) OR list_contains(gone, o.j) THEN gone
+          ELSE list_append(gone, CASE WHEN vi < vj THEN o.i ELSE o.j END) END
+        FROM walk JOIN ordered o ON o.k = walk.k + 1),
+      final AS (SELECT gone FROM walk ORDER BY k DESC LIMIT 1)
+      SELECT feature, count(*) AS rows FROM rel, final WHERE NOT list_contains(gone, i) GROUP BY feature""",
     "standard_scale": f"WITH {CELLS_SQL}, out AS (SELECT row_id, feature, (x - {POP[0]}) / {POP[1]} AS value FROM cells) "
     + round_sql("out", ["row_id", "feature"], ["value"]),
     "robust_scale": f"WITH {CELLS_SQL}, q AS (SELECT *, {IQR} FROM cells), out AS (SELECT row_id, feature, "
