@@ -104,6 +104,7 @@ def feature_rows(
     if block_rows is None:
         rows = (df.agg(F.max(r.row_id)).first()[0] or 0) + 1
         block_rows = block_rows_for(rows, look_back, max(parts, spark.sparkContext.defaultParallelism))
+        parts = min(parts, rows // block_rows + 1)
     wide = df.select(
         r.row_id, *keep, F.array(*[finite(F.col(c).cast("double")) for c in names]).alias("xs")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import elements
-from quantloom.session import materialise, shuffle_partitions
+from quantloom.session import materialise
 
 _POS_BITS = 33  # low bits of monotonically_increasing_id count rows inside a partition
 MAX_BLOCK_ROWS = 131_072
@@ -28,9 +28,9 @@ def range_runs(df: DataFrame, order_by: Sequence[str], label: str) -> DataFrame:
     anything is derived from it. ``order_by`` must be unique or nearly so: equal keys
     share a part.
     """
-    parts = shuffle_partitions(df.sparkSession)
+    # Without a number AQE may merge small neighbouring ranges, which keeps their order.
     stored = materialise(
-        df.repartitionByRange(parts, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_run", F.monotonically_increasing_id()),
         label,
