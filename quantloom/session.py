@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "quantloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,3 +61,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that task functions can be imported there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = os.path.join(tempfile.mkdtemp(prefix="quantloom-code-"), "quantloom.zip")
+    with zipfile.ZipFile(made, "w") as out:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(made)
+    _SHIPPED.add(context.applicationId)
