@@ -14,8 +14,18 @@ from quantloom.session import ship_code
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Bytes of a batch for Python, so that very long texts make shorter batches.
+BATCH_BYTES = 16 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make task functions importable on executors and bound the batches they get."""
     ship_code(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.llm.common import table
+from quantloom.llm.pieces import packed_pieces
 from quantloom.llm.simhash import near_duplicates
 
 
@@ -12,5 +15,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3, seed=42)
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", packed_pieces(F.col("text"), model).alias("p"))
+        .select(
+            "doc_id",
+            (F.octet_length("p.ids") / 4).cast("bigint").alias("n_tokens"),
+            F.sha2("p.ids", 256).alias("ids_sha256"),
+            F.sha2(F.col("p.decoded").cast("binary"), 256).alias("decoded_sha256"),
+            F.crc32(F.concat("p.starts", "p.stops")).alias("spans_crc32"),
+        )
+    )
+
+
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
+}
 SQL: dict[str, str] = {}
