@@ -15,7 +15,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 # Bytes of a batch for Python, so that very long texts make shorter batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _BPE = 2  # model_type of the public model format
+_GROUP_CHARS = 500_000  # texts of about so many characters are encoded together
 # Normaliser of the copy: no map, no added and no removed spaces, spaces shown as marks.
 _IDENTITY = bytes([0x0A, 8]) + b"identity" + bytes([0x18, 0, 0x20, 0, 0x28, 1])
 
@@ -204,6 +205,16 @@ class PieceModel:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text its ids, and the first and last-plus-one original byte of each id."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= _GROUP_CHARS:
+                yield from self._encode_group(some)
+                some, size = [], 0
+        yield from self._encode_group(some)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         known = self.known
         ready = [(marked, self.cut(marked), align) for marked, align in map(self.normalise, texts)]
         every = set().union(*[chunks for _, chunks, _ in ready])
