@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import table
 from quantloom.llm.pieces import packed_pieces
+from quantloom.llm.rules import FIELDS, references, verdict
 from quantloom.llm.simhash import near_duplicates
 
 
@@ -30,8 +31,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = docs.select("doc_id", verdict(F.col("text"), references(docs)).alias("q"))
+    return judged.select("doc_id", *[f"q.{n}" for n, _, _ in FIELDS])
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op5_quality_rules": op5_quality_rules,
 }
 SQL: dict[str, str] = {}

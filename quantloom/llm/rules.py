@@ -38,6 +38,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASS_OF = _classes()
+_PICK = np.array([_CLASS_OF == k for k in range(len(CLASSES))], float)
 
 
 @dataclass
@@ -48,7 +49,8 @@ class Thresholds:
     repeat_percent: int = 50
     char_distance: float = 0.28
     char_min_chars: int = 200
-    word_distance: float = 0.4
+    word_distance: float = 0.3
+    word_slack: float = 0.6  # over the root of the number of words, the noise of short texts
     word_min_words: int = 50
 
 
@@ -66,17 +68,14 @@ def byte_counts(raw: bytes) -> np.ndarray:
 
 
 def class_shares(counts: np.ndarray) -> np.ndarray:
-    whole = np.array([counts[_CLASS_OF == k].sum() for k in range(len(CLASSES))], float)
+    whole = _PICK @ counts
     return whole / max(1.0, whole.sum())
 
 
-_PICK = np.array([_CLASS_OF == k for k in range(len(CLASSES))], float)
-
-
-def plain_words(words: list[bytes]) -> Counter:
-    """Words without case (A-Z) and punctuation around them."""
+def plain_words(words: Counter) -> Counter:
+    """Counts of words without case (A-Z) and punctuation around them."""
     found: Counter = Counter()
-    for word, n in Counter(words).items():
+    for word, n in words.items():
         found[word.lower().strip(_EDGE)] += n
     return found
 
@@ -125,8 +124,7 @@ def distances(counts: np.ndarray, words: Counter, refs: References) -> tuple[flo
     """Distances to the nearest language, of character classes and of common words."""
     if not refs.langs:
         return 0.0, 0.0
-    shares = _PICK @ counts
-    by_class = js_distance(shares / max(1.0, shares.sum()), refs.chars)
+    by_class = js_distance(class_shares(counts), refs.chars)
     n = max(1, sum(words.values()))
     by_word = []
     for common in refs.words:
@@ -154,9 +152,11 @@ def judge(raw: bytes, refs: References, limit: Thresholds) -> tuple:
     counts, words = byte_counts(raw), raw.split()
     base = base_counts(raw, words, counts)
     failed = base[0] < limit.min_words or 100 * base[4] > limit.repeat_percent * base[0]
-    by_class, by_word = distances(counts, plain_words(words), refs)
+    by_class, by_word = distances(counts, plain_words(Counter(words)), refs)
     odd = by_class > limit.char_distance and base[1] >= limit.char_min_chars
-    odd = odd or (by_word > limit.word_distance and base[0] >= limit.word_min_words)
+    odd = odd or (
+        base[0] >= limit.word_min_words and by_word > limit.word_distance + limit.word_slack / base[0] ** 0.5
+    )
     return *base, failed, by_class, by_word, not failed and not odd
 
 
@@ -183,12 +183,20 @@ _SCALE = 1 << 24  # shares are summed as whole numbers, so that their order does
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums per language: (lang, kind, key, n) of classes, documents and words."""
     sums: dict[str, Counter] = defaultdict(Counter)
+    seen: dict[str, Counter] = defaultdict(Counter)  # words as they stand
 
     def rows() -> pa.RecordBatch:
+        for lang, words in seen.items():
+            for word, n in plain_words(words).items():
+                sums[lang][b"w" + word] += n
         flat = [(lang, key, n) for lang, found in sums.items() for key, n in found.items()]
         sums.clear()
+        seen.clear()
         columns = list(zip(*flat, strict=True)) if flat else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "key", "n"])
+        kinds = (pa.string(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "key", "n"]
+        )
 
     limit = Thresholds()
     for batch in batches:
@@ -201,9 +209,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found[b"c%d" % k] += round(share * _SCALE)
             found[b"d"] += 1
             found[b"n"] += len(words)
-            for word, n in plain_words(words).items():
-                found[b"w" + word] += n
-        if sum(map(len, sums.values())) > _FLUSH:
+            seen[lang].update(words)
+        if sum(map(len, seen.values())) > _FLUSH:
             yield rows()
     yield rows()
 
