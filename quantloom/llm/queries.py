@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import table
+from quantloom.llm.common import crc_fold, table
+from quantloom.llm.langid import learn_profiles, predict_lang
 from quantloom.llm.pieces import packed_pieces
 from quantloom.llm.rules import FIELDS, references, verdict
 from quantloom.llm.simhash import near_duplicates
@@ -31,6 +32,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False))
+    profiles = learn_profiles(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), predict_lang(F.col("text"), profiles).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score"
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = docs.select("doc_id", verdict(F.col("text"), references(docs)).alias("q"))
@@ -40,6 +50,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op5_quality_rules": op5_quality_rules,
 }
 SQL: dict[str, str] = {}
