@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.chat import format_conversations, read_replies, read_turns
 from quantloom.llm.common import crc_fold, table
 from quantloom.llm.langid import learn_profiles, predict_lang
+from quantloom.llm.multiset import edited_fingerprints
 from quantloom.llm.pieces import packed_pieces
 from quantloom.llm.quality import learn_quality, quality
 from quantloom.llm.rules import FIELDS, references, verdict
@@ -105,6 +106,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _held_out(4, 2)
     model = learn_toxicity(docs.where(~held_out), labels.where(~held_out))
@@ -123,6 +128,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
