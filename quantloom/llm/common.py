@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.session import ship_code
 
+_GROUP_CHARS = 500_000  # texts of about so many characters are encoded together
 # White space on which Python and the tokenizers' patterns disagree.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -37,37 +41,56 @@ def crc_fold(key: str, folds: int) -> Column:
 class ChunkCache:
     """Ids of text chunks, so that a tokenizer sees each frequent chunk once.
 
-    ``pattern`` cuts a text where no token can cross the cut, and ``encode`` maps a
-    list of chunks to their id lists. The cache starts afresh at ``size`` chunks; chunks
-    longer than ``longest`` are not kept, which bounds its memory. A text with white
-    space that the tokenizers' patterns treat differently from Python's is encoded whole.
+    ``pattern`` cuts a text where no token can cross the cut, and ``encode`` maps a list of
+    chunks to their id lists. The cache starts afresh at ``size`` chunks and does not keep
+    those longer than ``longest``, which bounds its memory. A text with white space that the
+    tokenizers' patterns treat differently from Python's is one chunk.
     """
 
-    def __init__(self, pattern: str, encode: Callable, size: int = 300_000, longest: int = 64):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], size: int = 300_000, longest: int = 64):
         self.cut = re.compile(pattern).findall
         self.encode, self.size, self.longest = encode, size, longest
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if _ODD_SPACE.search(text):
-            return list(self.encode([text])[0])
-        chunks = self.cut(text)
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, little-endian 32-bit."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= _GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         known = self.known
-        missing = [c for c in set(chunks) if c not in known]
-        extra: dict[str, list[int]] = {}
-        if missing:
-            if len(known) + len(missing) > self.size:
-                known.clear()
-                missing = list(set(chunks))
-            for chunk, got in zip(missing, self.encode(missing), strict=True):
-                (known if len(chunk) <= self.longest else extra)[chunk] = got
-        out: list[int] = []
-        if extra:
-            for chunk in chunks:
-                out += extra[chunk] if chunk in extra else known[chunk]
-        else:
-            for chunk in chunks:
-                out += known[chunk]
-        return out
+        ready = [[t] if _ODD_SPACE.search(t) else self.cut(t) for t in texts]
+        every = set().union(*ready)
+        new = every.difference(known)
+        if len(known) + len(new) > self.size:
+            known.clear()
+            new = every
+        new = list(new)
+        known.update(zip(new, [array("I", x).tobytes() for x in self.encode(new)] if new else [], strict=True))
+        for chunks in ready:
+            yield np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+        for chunk in new:
+            if len(chunk) > self.longest or len(known) > self.size:
+                del known[chunk]
+
+
+def chunked_tokenizer(path: str, pattern: str) -> ChunkCache:
+    """A tokenizers file behind a chunk cache; strings of special tokens in texts are plain text."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return ChunkCache(pattern, lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+
+
+# White space never joins the words around it, so words are chunks.
+WORDS = r"\S+"
+# A run of white space belongs to the word after it; tokens do not go from a word on to white space.
+SPACED_WORDS = r"\s*\S+|\s+"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.chat import format_conversations, read_replies, read_turns
-from quantloom.llm.common import crc_fold, table
+from quantloom.llm.common import WORDS, chunked_tokenizer, crc_fold, table
 from quantloom.llm.langid import learn_profiles, predict_lang
 from quantloom.llm.multiset import edited_fingerprints
+from quantloom.llm.packing import pack_documents
 from quantloom.llm.pieces import packed_pieces
 from quantloom.llm.quality import learn_quality, quality
 from quantloom.llm.rules import FIELDS, references, verdict
@@ -45,6 +48,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    words = partial(chunked_tokenizer, public_tokenizers.path("word_bpe_49k.json"), WORDS)
+    made = pack_documents(docs, words, end_id=1, size=4096)
+    return made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = docs.select("doc_id", verdict(F.col("text"), references(docs)).alias("q"))
@@ -126,6 +139,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
