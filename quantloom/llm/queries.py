@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.chat import format_conversations, read_replies, read_turns
-from quantloom.llm.common import WORDS, chunked_tokenizer, crc_fold, table
+from quantloom.llm.common import SPACED_WORDS, WORDS, chunked_tokenizer, crc_fold, table
 from quantloom.llm.langid import learn_profiles, predict_lang
 from quantloom.llm.multiset import edited_fingerprints
 from quantloom.llm.packing import pack_documents
 from quantloom.llm.pieces import packed_pieces
 from quantloom.llm.quality import learn_quality, quality
+from quantloom.llm.records import read_records, with_starts, write_records
 from quantloom.llm.rules import FIELDS, references, verdict
 from quantloom.llm.simhash import near_duplicates
 from quantloom.llm.toxicity import learn_toxicity, toxicity
@@ -74,6 +75,15 @@ def _scored(docs: DataFrame, held_out: Column, score: Column) -> DataFrame:
     )
 
 
+def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents")
+    index = write_records(docs, partial(chunked_tokenizer, path, SPACED_WORDS), end_id=2, vocabulary=50_257)
+    return read_records(with_starts(index)).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 _PROBE = "<|im_end|><|im_start|>assistant ok"  # conversation -1: control strings as text
 
 
@@ -141,6 +151,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_binary_records": op6_binary_records,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_toxicity": op9_toxicity,
