@@ -15,6 +15,7 @@ from checks.views import (
     TICKS_SQL,
     WIDE_CELLS_SQL,
     WIDE_SQL,
+    WIDTH,
     round_sql,
     rounded,
     ticks,
@@ -78,7 +79,7 @@ EXTRA = {
     "feature_103": ("feature_4 + feature_5 * 0.1e0", "feature_4 + feature_5 * 0.1e0"),
     "feature_104": ("feature_4 - feature_5 * 0.1e0", "feature_4 - feature_5 * 0.1e0"),
 }
-RELATED = [f"feature_{i}" for i in range(6)] + list(EXTRA)
+RELATED = [f"feature_{i}" for i in range(WIDTH)] + list(EXTRA)
 
 
 def related(spark, sf) -> DataFrame:
@@ -87,7 +88,7 @@ def related(spark, sf) -> DataFrame:
 
 
 RELATED_SQL = (
-    f"{WIDE_SQL}, related AS (SELECT row_id, {', '.join(f'feature_{i}' for i in range(6))}, "
+    f"{WIDE_SQL}, related AS (SELECT row_id, {', '.join(f'feature_{i}' for i in range(WIDTH))}, "
     + ", ".join(f"{sql} AS {n}" for n, (_, sql) in EXTRA.items())
     + " FROM wide), rel AS ("
     + " UNION ALL ".join(

@@ -204,9 +204,7 @@ FILL_COLUMNS = ", ".join(f"coalesce({f}, avg({f}) OVER ()) AS {f}" for f in TICK
 QUERIES = {
     "scan_csv": lambda spark, sf: rounded(scan_csv(spark, sf)),
     "scan_zip_csv": lambda spark, sf: rounded(scan_zip_csv(spark, sf)),
-    "scan_parquet": lambda spark, sf: read_table(spark, f"{sf}/orders.parquet").select(
-        "o_orderkey", "o_custkey"
-    ),
+    "scan_parquet": lambda spark, sf: read_table(spark, f"{sf}/orders.parquet"),
     "feature_projection": lambda spark, sf: rounded(
         raw_ticks(spark, sf).select("event_id", *feature_columns(raw_ticks(spark, sf), "feature_"))
     ),
@@ -238,7 +236,7 @@ SQL = {
     + round_sql(
         "raw_ticks", ["event_id", "ts", "date"], [*TICK_FEATURES, "weight", "resp", "pred", "pred_b"]
     ),
-    "scan_parquet": "SELECT o_orderkey, o_custkey FROM orders",
+    "scan_parquet": "SELECT * FROM orders",
     "feature_projection": f"WITH {RAW_TICKS_SQL} "
     + round_sql("raw_ticks", ["event_id"], list(TICK_FEATURES)),
     "validate_structure": f"""WITH {RAW_TICKS_SQL} SELECT count(*) AS total_rows, 10 AS total_columns,

@@ -14,7 +14,10 @@ from quantloom.roles import Roles, feature_columns, require_columns
 
 def validate_structure(df: DataFrame, r: Roles) -> DataFrame:
     """One row describing rows, columns, roles and the range of days."""
-    found = [c for c in df.columns if c.startswith(r.features)]
+    if isinstance(r.features, str):
+        found = [c for c in df.columns if c.startswith(r.features)]
+    else:
+        found = [c for c in r.features if c in df.columns]
     has_date = r.date in df.columns
     date = F.col(r.date) if has_date else F.lit(None).cast("int")
     return df.agg(

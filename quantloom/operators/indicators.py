@@ -9,13 +9,13 @@ the dependent ones are projections of it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import elements, finite, full_window, ratio
-from quantloom.operators.ordering import block_rows_for, carried_values, with_halo
+from quantloom.operators.ordering import block_rows_for, carried_values, dense_rows, with_halo, with_row_id
 from quantloom.roles import Roles, feature_columns
 from quantloom.session import shuffle_partitions
 
@@ -50,9 +50,6 @@ class IndicatorSet:
     quantile_windows: Sequence[int] = ()
     quantiles: Sequence[str] = QUANTILES
     fill: str | None = "pad"
-    families: tuple[str, ...] = field(
-        default=("lag", "rolling", "momentum", "volatility", "quantile"), repr=False
-    )
 
     @property
     def look_back(self) -> int:
@@ -94,15 +91,17 @@ ALL_INDICATORS = IndicatorSet(
 
 
 def feature_rows(
-    df: DataFrame, r: Roles, wanted: IndicatorSet, keep: Sequence[str], block_rows: int | None
+    df: DataFrame, r: Roles, wanted: IndicatorSet, keep: Sequence[str], block_rows: int | None, rows: int
 ) -> DataFrame:
-    """One row per (block, row, feature): ``block, row_id, own, at, *keep, f, x``."""
+    """One row per (block, row, feature): ``block, row_id, own, at, *keep, f, x``.
+
+    ``row_id`` must count the ``rows`` rows without holes.
+    """
     names = feature_columns(df, r.features)
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
     look_back = wanted.look_back
     if block_rows is None:
-        rows = (df.agg(F.max(r.row_id)).first()[0] or 0) + 1
         block_rows = block_rows_for(rows, look_back, max(parts, spark.sparkContext.defaultParallelism))
         parts = min(parts, rows // block_rows + 1)
     wide = df.select(
@@ -132,8 +131,18 @@ def indicator_rows(
     keep: Sequence[str] = (),
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Indicators in long form, partitioned by ``block``: one row per (row, feature)."""
-    rows = feature_rows(df, r, wanted, keep, block_rows)
+    """Indicators in long form, partitioned by ``block``: one row per (row, feature).
+
+    Windows and slopes count rows in the order of ``row_id``. If it has holes (rows were
+    filtered out after indexing) or repeats, rows are numbered anew inside and come out with
+    the ``row_id`` they had.
+    """
+    count = dense_rows(df, r.row_id)
+    if count is None:
+        placed = with_row_id(df, [r.row_id], "_place")
+        inner = replace(r, row_id="_place")
+        return indicator_rows(placed, inner, wanted, [r.row_id, *keep], block_rows).drop("_place")
+    rows = feature_rows(df, r, wanted, keep, block_rows, count)
     order = Window.partitionBy("block", "f").orderBy(r.row_id)
     x = F.col("x")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import elements
+from quantloom.functions.joins import null_safe_join
 from quantloom.session import materialise
 
 _POS_BITS = 33  # low bits of monotonically_increasing_id count rows inside a partition
@@ -61,6 +62,21 @@ def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id") ->
     )
 
 
+def dense_rows(df: DataFrame, row_id: str) -> int | None:
+    """Number of rows if ``row_id`` counts them from 0 without holes or repeats, else None.
+
+    One aggregate. A filter after indexing leaves holes; positions must then be numbered
+    anew before they are counted in.
+    """
+    at = F.col(row_id).cast("decimal(38,0)")
+    seen = df.agg(F.count("*"), F.min(row_id), F.max(row_id), F.sum(at), F.sum(at * at)).first()
+    n = seen[0]
+    if n == 0:
+        return 0
+    squares = (n - 1) * n * (2 * n - 1) // 6
+    return n if tuple(seen[1:]) == (0, n - 1, n * (n - 1) // 2, squares) else None
+
+
 def running_total(
     df: DataFrame, by: Sequence[str], order_by: str, value: str, name: str
 ) -> DataFrame:
@@ -76,7 +92,7 @@ def running_total(
         Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     )
     local = runs.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(starts, [*by, "_part"]).select(
+    return null_safe_join(local, starts, [*by, "_part"]).select(
         *df.columns, (F.col("_before") + F.col("_inside")).alias(name)
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import ratio
+from quantloom.functions.joins import null_safe_join
 from quantloom.operators.ordering import running_total
 from quantloom.operators.splits import Fold, assign
 from quantloom.operators.utility import utility_columns
@@ -72,7 +73,7 @@ def classification_metrics(
     if not plain:
         return scored
     counts = df.groupBy(*by).agg(*plain)
-    joined = counts.join(scored, list(by)) if by else counts.join(F.broadcast(scored))
+    joined = null_safe_join(counts, scored, list(by)) if by else counts.join(F.broadcast(scored))
     return joined.select(*by, *metrics)
 
 

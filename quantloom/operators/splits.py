@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.ordering import SMALL_ROWS, small_or_indexed, with_row_id
+from quantloom.functions.joins import null_safe_join
+from quantloom.operators.ordering import SMALL_ROWS, dense_rows, small_or_indexed, with_row_id
 from quantloom.roles import Roles
 
 STRATEGIES = ("purged_group_ts", "time_series", "stratified")
@@ -65,16 +66,28 @@ def purged_folds(
 
 
 def time_series_folds(df: DataFrame, row_id: str, n: int = 5) -> list[Fold]:
-    """Expanding window over the row order; needs the dense ``row_id``."""
-    last = df.agg(F.max(row_id)).first()[0]
-    rows = 0 if last is None else last + 1
+    """Expanding window over the row order given by the unique ``row_id``.
+
+    Folds count rows: where ``row_id`` has holes, rows are numbered anew and only the at
+    most ``2 n`` border values reach the driver.
+    """
+    dense = dense_rows(df, row_id)
+    rows = df.count() if dense is None else dense
     size = rows // (n + 1)
     if size == 0:
         raise ValueError(f"Not enough rows ({rows}) for {n} splits")
     at = F.col(row_id)
     starts = [rows - (n - i) * size for i in range(n)]
+    if dense is not None:
+        return [
+            Fold(i, at < start, (at >= start) & (at < start + size)) for i, start in enumerate(starts)
+        ]
+    borders = sorted({*starts, *[start + size - 1 for start in starts]})
+    placed = with_row_id(df.select(row_id), [row_id], "_place").where(F.col("_place").isin(borders))
+    value = {p["_place"]: p[row_id] for p in placed.collect()}
     return [
-        Fold(i, at < start, (at >= start) & (at < start + size)) for i, start in enumerate(starts)
+        Fold(i, at < value[start], (at >= value[start]) & (at <= value[start + size - 1]))
+        for i, start in enumerate(starts)
     ]
 
 
@@ -85,7 +98,8 @@ def _shuffled_rank(df: DataFrame, y: str, key: str, seed: int) -> DataFrame:
     classes = placed.groupBy(y).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
     if classes.count() <= SMALL_ROWS:
         classes = F.broadcast(classes)  # a class may hold most rows: do not shuffle by it
-    return placed.join(classes, y).withColumn("_rank", F.col("_at") - F.col("_first"))
+    # A missing label is a class of its own, so that no row is lost.
+    return null_safe_join(placed, classes, [y]).withColumn("_rank", F.col("_at") - F.col("_first"))
 
 
 def with_stratified_fold(

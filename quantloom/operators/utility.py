@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import ratio
+from quantloom.functions.joins import null_safe_join
 from quantloom.operators.quantiles import exact_quantiles
 from quantloom.roles import Roles
 
@@ -35,7 +36,7 @@ def actions(df: DataFrame, pred: str, by: Sequence[str] = (), threshold: float =
     p = F.col(pred)
     kinds = df.groupBy(*by).agg(_is_probability(p).alias("_scores"))
     # Without `by` this is one row; with it Spark picks the join from the measured size.
-    joined = df.join(kinds, list(by)) if by else df.join(F.broadcast(kinds))
+    joined = null_safe_join(df, kinds, list(by)) if by else df.join(F.broadcast(kinds))
     action = F.when(F.col("_scores"), _taken(p, threshold)).otherwise(_whole_number(p))
     return joined.select(*df.columns, action.cast("int").alias("action"))
 

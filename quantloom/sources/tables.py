@@ -28,14 +28,28 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(path)
     if suffix == ".csv":
-        reader = spark.read.option("header", True)
-        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-        return reader.csv(path)
+        return _read_csv(spark, path, schema)
     if suffix == ".zip":
         return _read_zip(spark, path, schema)
     raise ValueError(f"Unsupported file format: {suffix}")
 
 
+def _read_csv(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
+    """Headered CSV. A given schema is matched to the header by name, in any order; columns
+    it does not name are left out. Every file's header is checked against the first one's.
+    As in the zipped form, an empty value is missing and any other text, ``NA`` too, is itself."""
+    reader = spark.read.option("header", True)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    header = reader.csv(path).columns
+    absent = [f.name for f in schema if f.name not in header]
+    if absent:
+        raise ValueError(f"Columns not in the CSV header: {absent}")
+    kinds = {f.name: f for f in schema}
+    ordered = StructType([kinds.get(c, StructField(c, StringType())) for c in header])
+    return reader.schema(ordered).option("enforceSchema", False).csv(path).select(*schema.names)
+
+
 def _open(uri: str):
     """A seekable file for a path or URI, opened where the task runs."""
     parsed = urlparse(uri)
@@ -75,8 +89,12 @@ def _read_zip(spark: SparkSession, path: str, schema: StructType | None) -> Data
     if schema:
         names = schema.names
     else:
-        first = listed.mapInPandas(_headers, "path string, names array<string>")
-        names = first.orderBy("path").first()["names"]
+        headers = listed.mapInPandas(_headers, "path string, names array<string>")
+        by_order = headers.groupBy(F.array_sort("names").alias("sorted")).agg(F.min(F.struct("path", "names")).alias("first"))
+        kinds = by_order.limit(2).collect()
+        if len(kinds) != 1:
+            raise ValueError(f"Archives of one table have different columns: {[k['sorted'] for k in kinds]}")
+        names = kinds[0]["first"]["names"]
     text = StructType([StructField(n, StringType()) for n in names])
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +102,9 @@ def _read_zip(spark: SparkSession, path: str, schema: StructType | None) -> Data
             for uri in batch["path"]:
                 with _open(uri) as raw, zipfile.ZipFile(raw) as archive:
                     with archive.open(_member(archive)) as member:
-                        for chunk in pd.read_csv(member, dtype=str, chunksize=CHUNK_ROWS):
+                        for chunk in pd.read_csv(
+                            member, dtype=str, chunksize=CHUNK_ROWS, keep_default_na=False, na_values=[""]
+                        ):
                             yield chunk[names].astype(object).where(chunk[names].notna(), None)
 
     landed = materialise(listed.mapInPandas(unpack, text), "unzipped")
