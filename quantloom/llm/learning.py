@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,29 @@ def sparse_column(text: Column, features: Callable[[str], tuple[np.ndarray, np.n
 class SparseRows:
     """Rows of (feature, weight) lists as flat arrays."""
 
-    def __init__(self, at: list[np.ndarray], weight: list[np.ndarray]):
-        self.size = np.array([len(a) for a in at], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.size)))
-        self.at = np.concatenate([np.zeros(0, np.int32), *at]).astype(np.int64)
-        self.weight = np.concatenate([np.zeros(0, np.float32), *weight]).astype(np.float64)
+    def __init__(self, at: Sequence[np.ndarray], weight: Sequence[np.ndarray]):
+        self._hold(
+            np.array([len(a) for a in at], np.int64),
+            np.concatenate([np.zeros(0, np.int32), *at]),
+            np.concatenate([np.zeros(0, np.float32), *weight]),
+        )
+
+    @classmethod
+    def from_arrow(cls, at: pa.ChunkedArray, weight: pa.ChunkedArray) -> SparseRows:
+        """List columns as they lie; nothing becomes a Python object."""
+        made = object.__new__(cls)
+        size = [c.value_lengths().to_numpy(zero_copy_only=False) for c in at.chunks]
+        flat = [[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] for column in (at, weight)]
+        made._hold(
+            np.concatenate([np.zeros(0, np.int64), *size]),
+            np.concatenate([np.zeros(0, np.int32), *flat[0]]),
+            np.concatenate([np.zeros(0, np.float32), *flat[1]]),
+        )
+        return made
+
+    def _hold(self, size: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+        self.size, self.start = size.astype(np.int64), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        self.at, self.weight = at.astype(np.int32), weight.astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.size)
@@ -52,12 +70,10 @@ class SparseRows:
         """Features, weights and place in ``rows`` of all entries of these rows."""
         spans = [np.arange(self.start[r], self.start[r + 1]) for r in rows]
         flat = np.concatenate([np.zeros(0, np.int64), *spans])
-        return self.at[flat], self.weight[flat], np.repeat(np.arange(len(rows)), self.size[rows])
+        return self.at[flat].astype(np.int64), self.weight[flat].astype(np.float64), np.repeat(np.arange(len(rows)), self.size[rows])
 
 
 def collect_rows(df: DataFrame, extra: str) -> tuple[SparseRows, np.ndarray]:
     """Sampled rows at the driver; ``df`` has ``f`` from ``sparse_column`` and one more column."""
     rows = df.select("f.at", "f.weight", extra).toArrow()
-    at = [np.asarray(x, np.int32) for x in rows.column("at").to_pylist()]
-    weight = [np.asarray(x, np.float32) for x in rows.column("weight").to_pylist()]
-    return SparseRows(at, weight), rows.column(extra).to_numpy()
+    return SparseRows.from_arrow(rows.column("at"), rows.column("weight")), rows.column(extra).to_numpy()
