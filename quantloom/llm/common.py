@@ -6,6 +6,8 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,15 +43,20 @@ def crc_fold(key: str, folds: int) -> Column:
 class ChunkCache:
     """Ids of text chunks, so that a tokenizer sees each frequent chunk once.
 
-    ``pattern`` cuts a text where no token can cross the cut, and ``encode`` maps a list of
-    chunks to their id lists. The cache starts afresh at ``size`` chunks and does not keep
-    those longer than ``longest``, which bounds its memory. A text with white space that the
+    ``cut`` cuts a text where no token can cross, and ``learn`` maps new chunks to their packed ids. At
+    ``size`` chunks the newer half goes: frequent chunks come early and stay. Chunks longer than
+    ``longest`` are not kept. Both bound the cache's memory. A text with white space that the
     tokenizers' patterns treat differently from Python's is one chunk.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], size: int = 300_000, longest: int = 64):
-        self.cut = re.compile(pattern).findall
-        self.encode, self.size, self.longest = encode, size, longest
+    def __init__(
+        self,
+        cut: Callable[[str], list[str]],
+        learn: Callable[[list[str]], list[bytes]],
+        size: int = 600_000,
+        longest: int = 64,
+    ):
+        self.cut, self.learn, self.size, self.longest = cut, learn, size, longest
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -65,32 +72,114 @@ class ChunkCache:
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         known = self.known
-        ready = [[t] if _ODD_SPACE.search(t) else self.cut(t) for t in texts]
-        every = set().union(*ready)
-        new = every.difference(known)
-        if len(known) + len(new) > self.size:
-            known.clear()
-            new = every
-        new = list(new)
-        known.update(zip(new, [array("I", x).tobytes() for x in self.encode(new)] if new else [], strict=True))
-        for chunks in ready:
-            yield np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
-        for chunk in new:
-            if len(chunk) > self.longest or len(known) > self.size:
+        ready, new = [], {}  # a dict, as its order makes the cache the same in every run
+        for text in texts:
+            chunks = [WHOLE + text] if _ODD_SPACE.search(text) else self.cut(text)
+            found = list(map(known.get, chunks))
+            gaps = [(i, chunks[i]) for i, f in enumerate(found) if f is None]
+            new.update((c, b"") for _, c in gaps)
+            ready.append((found, gaps))
+        new = dict(zip(new, self.learn(list(new)), strict=True))
+        known.update((c, ids) for c, ids in new.items() if len(c) <= self.longest)
+        if len(known) > self.size:
+            for chunk in list(islice(known, self.size // 2, None)):
                 del known[chunk]
+        for found, gaps in ready:
+            for i, chunk in gaps:
+                found[i] = new[chunk]
+            yield np.frombuffer(b"".join(found), "<u4")
+
+
+WHOLE = "\0"  # before a chunk that is to be encoded as it stands
+
+_SPACED = re.compile(r"\s*\S+|\s+").findall
+
+
+def words(text: str) -> list[str]:
+    """Words, for tokenizers that lower-case and drop white space.
+
+    In texts of Latin letters lower-casing first changes nothing but the number of chunks.
+    """
+    if WHOLE in text:
+        return [WHOLE + w for w in text.split()]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split()
+
+
+def spaced_words(text: str) -> list[str]:
+    """Words with the white space before them, for byte-level tokenizers.
+
+    Their tokens do not go from a word on to white space. Where words stand apart by one space or
+    line end each, as most do, a chunk is a word alone (a space before it) or a line end and
+    a word, which plain splitting finds.
+    """
+    if WHOLE not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        chunks = text.replace("\n", " \n").split(" ")
+        chunks[0] = WHOLE + chunks[0]
+        return chunks
+    return [WHOLE + c for c in _SPACED(text)]
+
+
+def spell(chunk: str) -> str:
+    return chunk[1:] if chunk[:1] == WHOLE else chunk if chunk[:1] == "\n" else " " + chunk
+
+
+# Words of Latin letters (of one or two bytes) and a mark after them: one token run each, whatever
+# stands around them, in all patterns used here; no letter here changes under composition.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level models write for a byte: itself if it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
-def chunked_tokenizer(path: str, pattern: str) -> ChunkCache:
-    """A tokenizers file behind a chunk cache; strings of special tokens in texts are plain text."""
+
+@lru_cache(maxsize=4)
+def chunked_tokenizer(path: str, cut: Callable[[str], list[str]], lower: bool = False) -> ChunkCache:
+    """A tokenizers file behind a chunk cache; strings of special tokens in texts are plain text.
+
+    Plain words go straight to the library's model, all else through its whole course.
+    ``lower`` says that the tokenizer lower-cases and drops white space. A Python worker keeps the tokenizer, and what
+    the cache has learned, from task to task.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkCache(pattern, lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
-
-
-# White space never joins the words around it, so words are chunks.
-WORDS = r"\S+"
-# A run of white space belongs to the word after it; tokens do not go from a word on to white space.
-SPACED_WORDS = r"\s*\S+|\s+"
+    model, letters = tokenizer.model, dict(enumerate(_byte_letters()))
+    gap = letters[ord(" ")]
+
+    def plain(word: str) -> list[int]:
+        shown = word.strip().lower() if lower else word
+        shown = shown.replace(" ", gap) if shown.isascii() else shown.encode().decode("latin-1").translate(letters)
+        return [t.id for t in model.tokenize(shown)]
+
+    @lru_cache(maxsize=16)
+    def mark(sign: str) -> bytes:
+        return array("I", plain(sign)).tobytes()
+
+    def learn(chunks: list[str]) -> list[bytes]:
+        out, rest = [b""] * len(chunks), []
+        for i, chunk in enumerate(chunks):
+            text = spell(chunk)
+            word = _PLAIN(text)
+            if word is None:
+                rest.append((i, text))
+            elif word[2]:
+                stem = cache.known.get(chunk[:-1])
+                out[i] = (array("I", plain(word[1])).tobytes() if stem is None else stem) + mark(word[2])
+            else:
+                out[i] = array("I", plain(text)).tobytes()
+        whole = tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False) if rest else []
+        for (i, _), found in zip(rest, whole, strict=True):
+            out[i] = array("I", found.ids).tobytes()
+        return out
+
+    cache = ChunkCache(cut, learn)
+    return cache

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.chat import format_conversations, read_replies, read_turns
-from quantloom.llm.common import SPACED_WORDS, WORDS, chunked_tokenizer, crc_fold, table
+from quantloom.llm.common import chunked_tokenizer, crc_fold, spaced_words, table, words
 from quantloom.llm.langid import learn_profiles, predict_lang
 from quantloom.llm.multiset import edited_fingerprints
 from quantloom.llm.packing import pack_documents
@@ -50,8 +50,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    words = partial(chunked_tokenizer, public_tokenizers.path("word_bpe_49k.json"), WORDS)
-    made = pack_documents(docs, words, end_id=1, size=4096)
+    tokenizer = partial(chunked_tokenizer, public_tokenizers.path("word_bpe_49k.json"), words, lower=True)
+    made = pack_documents(docs, tokenizer, end_id=1, size=4096)
     return made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -78,7 +78,7 @@ def _scored(docs: DataFrame, held_out: Column, score: Column) -> DataFrame:
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents")
-    index = write_records(docs, partial(chunked_tokenizer, path, SPACED_WORDS), end_id=2, vocabulary=50_257)
+    index = write_records(docs, partial(chunked_tokenizer, path, spaced_words), end_id=2, vocabulary=50_257)
     return read_records(with_starts(index)).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

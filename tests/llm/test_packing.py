@@ -8,11 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quantloom.llm.common import SPACED_WORDS, WORDS, chunked_tokenizer
+from quantloom.llm.common import chunked_tokenizer, spaced_words, words
 from quantloom.llm.packing import OpenBins, pack_documents
 from quantloom.llm.queries import op4_best_fit_packing
 
-TEXTS = ["", " ", "The the, DOG's 12 cats\n\n x", "é ﬁ Ⅳ 中文 😀", "a\xa0 b \n c\t", "odd\x1cspace !\x1c x", "<|endoftext|> x <|startoftext|>", "x" * 300 + "  y"]
+TEXTS = ["", " ", "The the, DOG's 12 cats\n\n x", "é ﬁ Ⅳ 中文 😀", "a\xa0 b \n c\t", "odd\x1cspace !\x1c x", "<|endoftext|> x <|startoftext|>", "x" * 300 + "  y", "Word, word. Wörd's ÉTÉ! a..b x.,y\nNext: ok?"]
 
 
 def library(name):
@@ -21,12 +21,12 @@ def library(name):
     return made
 
 
-@pytest.mark.parametrize("name,pattern", [("word_bpe_49k.json", WORDS), ("byte_bpe_50k.json", SPACED_WORDS)])
-def test_chunks_encode_like_the_whole(name, pattern):
-    chunked, whole = chunked_tokenizer(public.path(name), pattern), library(name)
+@pytest.mark.parametrize("name,cut,lower", [("word_bpe_49k.json", words, True), ("byte_bpe_50k.json", spaced_words, False)])
+def test_chunks_encode_like_the_whole(name, cut, lower):
+    chunked, whole = chunked_tokenizer(public.path(name), cut, lower), library(name)
 
     @settings(max_examples=120, deadline=None)
-    @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\r ae'st.1")), max_size=40), max_size=4))
+    @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\r aeÉŸ'st.,1Σİ\u0301\u0331")), max_size=40), max_size=4))
     def same(texts):
         assert [x.tolist() for x in chunked(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
@@ -90,9 +90,9 @@ def test_whole_table(spark):
 
 def test_nulls_repeats_long_texts_and_empty(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "word " * 30_000, 1), (2, "word " * 30_000, 1)], "doc_id int, text string, piece int")
-    words = partial(chunked_tokenizer, public.path("word_bpe_49k.json"), WORDS)
-    rows = pack_documents(df, words, 1).collect()
+    tokenizer = partial(chunked_tokenizer, public.path("word_bpe_49k.json"), words, lower=True)
+    rows = pack_documents(df, tokenizer, 1).collect()
     assert sorted((str(r.doc_id), r.piece) for r in rows) == sorted([("None", 0), ("1", 0), *[("2", k) for k in range(8)] * 2])
     check(rows, 4096)
     assert all(r.length == 4096 for r in rows if r.doc_id == 2 and r.piece < 7)
-    assert pack_documents(df.limit(0), words, 1).collect() == []
+    assert pack_documents(df.limit(0), tokenizer, 1).collect() == []

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quantloom.llm.common import SPACED_WORDS, chunked_tokenizer
+from quantloom.llm.common import chunked_tokenizer, spaced_words
 from quantloom.llm.queries import op6_binary_records
 from quantloom.llm.records import crc32c, frame, masked, read_records, unframe, with_starts, write_records
 
-BYTES = partial(chunked_tokenizer, public.path("byte_bpe_50k.json"), SPACED_WORDS)
+BYTES = partial(chunked_tokenizer, public.path("byte_bpe_50k.json"), spaced_words)
 
 
 def slow_crc(data):
