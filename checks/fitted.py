@@ -116,7 +116,7 @@ def pairs(spark, sf):
 
 
 def pairs_in_blocks(spark, sf):
-    return rounded(se.correlation_pairs(related(spark, sf), 0.95, width=4))
+    return rounded(se.correlation_pairs(related(spark, sf), 0.95, width=40))
 
 
 def scaled(stage):

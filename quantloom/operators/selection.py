@@ -7,7 +7,11 @@ shuffle carries one partial result per feature and task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector
@@ -25,7 +29,7 @@ from quantloom.operators.quantiles import exact_quantiles
 from quantloom.roles import Roles
 from quantloom.session import materialise
 
-# A correlation pass keeps width^2 / 2 numbers per task: 16 MB.
+# A correlation pass keeps four times width^2 numbers per task: 128 MB.
 WIDTH = 2000
 STRATEGIES = ("median", "mean", "most_frequent", "constant")
 
@@ -116,14 +120,15 @@ class ImputeModel(Model, _Stage):
 
     fills = Param(Params._dummy(), "fills", "value per kept feature", TypeConverters.toListFloat)
     kept = Param(Params._dummy(), "kept", "kept features", TypeConverters.toListString)
+    whole = Param(Params._dummy(), "whole", "nothing was missing in the fit", TypeConverters.toBoolean)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(featuresCol=FEATURES)
+        self._setDefault(featuresCol=FEATURES, whole=False)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         column, kept = self.getFeaturesCol(), self.getOrDefault("kept")
-        if not kept:
+        if self.getOrDefault("whole"):
             return dataset
         names = feature_names(dataset, column)
         absent = [n for n in kept if n not in set(names)]
@@ -153,7 +158,7 @@ class ImputeFeatures(Estimator, _Stage):
             raise ValueError(f"Unknown imputation strategy: {strategy}")
         model = ImputeModel()._set(featuresCol=column)
         if missing_total(dataset, column) == 0:
-            return model._set(kept=[], fills=[])
+            return model._set(kept=[], fills=[], whole=True)
         found = fill_values(dataset, strategy, column, self.getOrDefault("fillValue"))
         fills = {row["f"]: row["fill"] for row in found.collect()}  # one row per feature
         names = feature_names(dataset, column)
@@ -240,22 +245,70 @@ def all_correlations(df: DataFrame, column: str = FEATURES, width: int = WIDTH)
     return whole
 
 
+def _pair_sums(values: DataFrame, width: int) -> DataFrame:
+    """Sums over the rows in which both features of a pair have a value: ``a, b, n, sx, sy, sxx, syy, sxy``.
+
+    One scan. A task adds up matrices of ``width`` by ``width`` and hands on one row per pair, so
+    there are no more tasks than cores. Values are taken from a first value of
+    their feature, which keeps the sums exact for constant features and small for others.
+    """
+    first = np.zeros(width)
+    for row in reversed(values.limit(200).collect()):
+        first = np.array([f if v is None else v for v, f in zip(row[0], first)]) if row[0] is not None else first
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            column = batch.column(0)
+            if column.null_count:
+                column = column.drop_null()
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) - first
+            there = np.isfinite(x).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            n += there.T @ there
+            sx += x.T @ there
+            sxx += (x * x).T @ there
+            sxy += x.T @ x
+        i, j = np.triu_indices(width, 1)
+        parts = [i.astype(np.int32), j.astype(np.int32), n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+        for at in range(0, len(i), _PAIR_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(p[at : at + _PAIR_ROWS]) for p in parts], names=_PAIR_NAMES)
+
+    schema = "a int, b int, " + ", ".join(f"{c} double" for c in _PAIR_NAMES[2:])
+    tasks = max(1, values.sparkSession.sparkContext.defaultParallelism)
+    summed = values.coalesce(tasks).mapInArrow(add_up, schema)
+    return summed.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _PAIR_NAMES[2:]])
+
+
+_PAIR_ROWS = 100_000
+_PAIR_NAMES = ["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
 def correlation_pairs(
     df: DataFrame, threshold: float = 0.95, column: str = FEATURES, width: int = WIDTH
 ) -> DataFrame:
     """Pairs i < j with absolute correlation at or over the threshold: ``(i, j, a, b, correlation)``.
 
-    A pass handles at most ``width`` features, as its buffer grows with their square; wider
-    arrays take one pass per pair of half-width column blocks. Constant features never qualify.
+    Over the rows in which both have a value. A pass handles at most ``width`` features, as its
+    sums grow with their square; wider arrays take one pass per pair of half-width column
+    blocks. Constant features never qualify. The pairs stay in Spark.
     """
     names = feature_names(df, column)
-    found: dict[tuple[int, int], float] = {}
+    every = F.split(F.lit("\n".join(names)), "\n")
+    found = []
     for block in _column_blocks(len(names), width):
-        matrix = np.abs(correlation_matrix(df, block, column))
-        for a, b in np.argwhere(np.triu(matrix >= threshold, 1)):
-            found[block[a], block[b]] = float(matrix[a, b])
-    rows = [(i, j, names[i], names[j], c) for (i, j), c in sorted(found.items())]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, a string, b string, correlation double")
+        whole = block == list(range(len(names)))
+        values = F.col(column) if whole else at_positions(column, block, len(names))
+        sums = _pair_sums(df.select(values.alias("v")), len(block))
+        at = F.array(*[F.lit(i) for i in block]) if not whole else None
+        i, j = (F.col("a"), F.col("b")) if whole else (F.get(at, F.col("a")), F.get(at, F.col("b")))
+        spread = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
+        r = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(spread > 0, spread)))
+        found.append(sums.select(i.alias("i"), j.alias("j"), F.abs(r).alias("correlation")).where(F.col("correlation") >= threshold))
+    pairs = reduce(DataFrame.union, found)
+    if len(found) > 1:  # features of one block meet in several passes
+        pairs = pairs.groupBy("i", "j").agg(F.max("correlation").alias("correlation"))
+    return pairs.select("i", "j", F.get(every, F.col("i")).alias("a"), F.get(every, F.col("j")).alias("b"), "correlation")
 
 
 def _column_blocks(total: int, width: int) -> list[list[int]]:

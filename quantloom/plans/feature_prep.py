@@ -109,7 +109,7 @@ def fit_feature_prep(
         model = stage if isinstance(stage, Transformer) else stage.fit(current)
         current = model.transform(current)
         fitted.append(model)
-        skipped = isinstance(stage, ImputeFeatures) and not model.getOrDefault("kept")
+        skipped = isinstance(stage, ImputeFeatures) and model.getOrDefault("whole")
         packed = isinstance(stage, IndicatorFeatures) and not stage.getOrDefault("derive")
         if not skipped and not packed:
             note(current, STEPS[type(stage)])
