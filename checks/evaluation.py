@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import TICKS_SQL, TRADES_SQL, round_sql, rounded, ticks, trades
+from checks.views import TICKS_SQL, TRADES_SQL, raw_ticks, round_sql, rounded, ticks, trades
 from quantloom import Roles
 from quantloom.operators import comparison as cmp
 from quantloom.operators import scoring as sc
@@ -22,6 +22,11 @@ def labelled(spark, sf):
     return with_target(ticks(spark, sf), R)
 
 
+def loose(spark, sf):
+    """Labelled ticks for what needs no row order."""
+    return with_target(raw_ticks(spark, sf), R)
+
+
 def split_query(**kw):
     return lambda spark, sf: sp.purged_splits(ticks(spark, sf), "date", N, **kw).select(
         "fold", "role", "row_id", "date"
@@ -48,7 +53,7 @@ def holdout(spark, sf):
 
 
 def improvement_by_day(spark, sf):
-    t = ticks(spark, sf)
+    t = raw_ticks(spark, sf)
     both = t.groupBy("date").agg(
         ut.utility_columns(F.col("pred"), R).alias("base"),
         ut.utility_columns(F.col("pred_b"), R).alias("model"),
@@ -64,7 +69,7 @@ def whole_decisions(spark, sf):
 
 
 def report(spark, sf):
-    t = labelled(spark, sf)
+    t = loose(spark, sf)
     return rounded(sc.fold_report(t, sp.purged_folds(t, "date", N), "pred", "y", R, METRICS))
 
 
@@ -75,7 +80,7 @@ def out_of_fold(spark, sf):
 
 def scores(spark, sf):
     """Fold scores of two score columns as the models ``boosted`` and ``blend``."""
-    t = labelled(spark, sf)
+    t = loose(spark, sf)
     folds = sp.purged_folds(t, "date", N)
     made = [
         sc.fold_scores(sc.fold_report(t, folds, pred, "y", R, METRICS), model, METRICS)
@@ -160,7 +165,7 @@ QUERIES = {
     ),
     "utility_by_day": lambda spark, sf: rounded(ut.utility(trades(spark, sf), "pred", R, ["date"])),
     "utility_with_penalty": lambda spark, sf: rounded(
-        ut.utility(ticks(spark, sf), "pred", R, ["date"], penalty=0.01)
+        ut.utility(raw_ticks(spark, sf), "pred", R, ["date"], penalty=0.01)
     ),
     "utility_of_decisions": whole_decisions,
     "utility_improvement": improvement_by_day,
@@ -171,12 +176,12 @@ QUERIES = {
         ut.trading_performance(trades(spark, sf), "pred", R), 3
     ),
     "trading_performance_by_day": lambda spark, sf: rounded(
-        ut.trading_performance(ticks(spark, sf), "pred", R, by=["date"])
+        ut.trading_performance(raw_ticks(spark, sf), "pred", R, by=["date"])
     ),
     "decision_deciles": lambda spark, sf: rounded(
-        ut.decision_deciles(ticks(spark, sf), "pred", R)
+        ut.decision_deciles(raw_ticks(spark, sf), "pred", R)
     ),
-    "auc_by_day": lambda spark, sf: rounded(sc.auc(labelled(spark, sf), "pred", "y", ["date"])),
+    "auc_by_day": lambda spark, sf: rounded(sc.auc(loose(spark, sf), "pred", "y", ["date"])),
     "auc_tied_scores": lambda spark, sf: rounded(
         sc.auc(
             trades(spark, sf).withColumn("score", F.floor(F.col("pred") * 10)).withColumn("part", F.expr("date div 500")),
@@ -186,13 +191,13 @@ QUERIES = {
         )
     ),
     "accuracy": lambda spark, sf: rounded(
-        sc.classification_metrics(labelled(spark, sf), "pred", "y", ["date"], ("accuracy",))
+        sc.classification_metrics(loose(spark, sf), "pred", "y", ["date"], ("accuracy",))
     ),
     "precision": lambda spark, sf: rounded(
-        sc.classification_metrics(labelled(spark, sf), "pred", "y", ["date"], ("precision",))
+        sc.classification_metrics(loose(spark, sf), "pred", "y", ["date"], ("precision",))
     ),
     "recall": lambda spark, sf: rounded(
-        sc.classification_metrics(labelled(spark, sf), "pred", "y", ["date"], ("recall",))
+        sc.classification_metrics(loose(spark, sf), "pred", "y", ["date"], ("recall",))
     ),
     "fold_report": report,
     "fold_predictions": out_of_fold,
