@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import evaluation, fitted, kept_rows, strategy, tables, timeseries
+from checks import evaluation, fitted, flows, kept_rows, strategy, tables, timeseries
 
-MODULES = (strategy, timeseries, tables, evaluation, kept_rows, fitted)
+MODULES = (strategy, timeseries, tables, evaluation, kept_rows, fitted, flows)
 
 
 def queries():

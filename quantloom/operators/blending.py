@@ -185,12 +185,13 @@ class Blend(Estimator):
     folds = Param(Params._dummy(), "folds", "folds of the weight search", TypeConverters.toInt)
     optimise = Param(Params._dummy(), "optimise", "search the weights", TypeConverters.toBoolean)
     seed = Param(Params._dummy(), "seed", "seed of the folds", TypeConverters.toInt)
+    rowCol = Param(Params._dummy(), "rowCol", "unique key of the rows", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, encoder=None, boosted=None, weights=None, optimise=True, folds=3, seed=42):
+    def __init__(self, *, encoder=None, boosted=None, weights=None, optimise=True, folds=3, seed=42, rowCol="row_id"):
         super().__init__()
-        self._setDefault(folds=3, optimise=True, seed=42)
-        self._set(optimise=optimise, folds=folds, seed=seed)
+        self._setDefault(folds=3, optimise=True, seed=42, rowCol="row_id")
+        self._set(optimise=optimise, folds=folds, seed=seed, rowCol=rowCol)
         self.members = {"encoder": encoder or EncoderMlp(), "boosted": boosted or BoostedTrees()}
         self.weights = normalise_weights(weights or WEIGHTS)
 
@@ -209,10 +210,11 @@ class Blend(Estimator):
         if self.getOrDefault("optimise"):
             y = self.members["boosted"].getLabelCol()
             n = self.getOrDefault("folds")
-            rows = with_stratified_fold(dataset, y, n, self.getOrDefault("seed"))
-            members = {m: out_of_fold(e, rows, stratified_folds(n), ["row_id", y]) for m, e in self.members.items()}
+            key = self.getOrDefault("rowCol")
+            rows = with_stratified_fold(dataset, y, n, self.getOrDefault("seed"), key)
+            members = {m: out_of_fold(e, rows, stratified_folds(n), [key, y]) for m, e in self.members.items()}
             scores = members["encoder"].withColumnRenamed("pred", "encoder").join(
-                members["boosted"].select("row_id", F.col("pred").alias("boosted")), "row_id"
+                members["boosted"].select(key, F.col("pred").alias("boosted")), key
             )
             best = search_blend_weight(scores, "encoder", "boosted", y).first()
             if best["first_weight"] is not None:

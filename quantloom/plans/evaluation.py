@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.models import score_column
-from quantloom.operators.scoring import METRICS, fold_scores, report_predictions, train_sizes
-from quantloom.operators.splits import Fold
+from quantloom.operators.scoring import METRICS, aggregate_folds, fold_scores, report_predictions, train_sizes
+from quantloom.operators.splits import Fold, make_folds
 from quantloom.roles import Roles
 from quantloom.session import materialise
 
@@ -53,6 +53,27 @@ def cross_validate(
     return report_predictions(scored, train_sizes(df, folds), "pred", y, r, metrics)
 
 
+def cross_validate_by(
+    estimator: Estimator,
+    df: DataFrame,
+    r: Roles,
+    strategy: str = "purged_group_ts",
+    n: int = 5,
+    gap: int = 0,
+    seed: int = 42,
+    y: str = "y",
+    metrics: Sequence[str] = METRICS,
+    name: str = "model",
+    parallelism: int = 2,
+) -> tuple[DataFrame, DataFrame]:
+    """Cross-validation with the folds of a named strategy: the fold report, and its aggregates."""
+    table, folds = make_folds(df, r, strategy, n, gap, seed, y)
+    if table is not df:
+        table = materialise(table, "folds")  # every fold reads it
+    report = materialise(cross_validate(estimator, table, folds, r, y, metrics, parallelism), "report")
+    return report, aggregate_folds(fold_scores(report, name, metrics))
+
+
 def compare_models(
     models: Mapping[str, Estimator],
     df: DataFrame,

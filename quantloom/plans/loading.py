@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantloom.operators.cleaning import (
     downcast_floats,
@@ -11,9 +12,11 @@ from quantloom.operators.cleaning import (
     features_and_target,
     fill_mean,
     non_finite_to_null,
+    require_input,
     validate_structure,
 )
 from quantloom.roles import Roles, feature_columns
+from quantloom.sources import read_table
 
 
 def load_processed(df: DataFrame, r: Roles, downcast: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -48,3 +51,24 @@ def load_validated(df: DataFrame, r: Roles, downcast: bool = True) -> tuple[Data
     table, meta = load_processed(df, r, downcast)
     checks = validate_structure(df, r)
     return table, meta.join(F.broadcast(checks))  # one row each
+
+
+def load_data(
+    spark: SparkSession, path: str, r: Roles, schema: StructType | None = None, downcast: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Read, check and clean the table at ``path``; fails on a missing column or an empty table.
+
+    The one-row description holds the structure checks, the feature names, and the shapes of
+    features (``x_rows``, ``x_columns``) and target (``y_rows``) after cleaning.
+    """
+    raw = read_table(spark, path, schema)
+    names = feature_columns(raw, r.features)
+    require_input(raw, [*names, r.target])
+    table, about = load_validated(raw, r, downcast)
+    return table, about.select(
+        "*",
+        F.split(F.lit("\n".join(names)), "\n").alias("feature_columns"),
+        F.col("n_rows").alias("x_rows"),
+        F.col("n_features").alias("x_columns"),
+        F.col("n_rows").alias("y_rows"),
+    )
