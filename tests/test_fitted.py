@@ -67,8 +67,10 @@ def test_correlation_filter_is_greedy(spark):
     df = table(spark, x)
     model = se.Decorrelate(threshold=0.9).fit(df)
     assert feature_names(model.transform(df)) == greedy(x, 0.9)
-    blocks = se.correlation_pairs(df, 0.9, width=2).collect()
-    assert blocks == se.correlation_pairs(df, 0.9).collect()
+    blocks = sorted(tuple(r) for r in se.correlation_pairs(df, 0.9, width=2).collect())
+    whole = sorted(tuple(r) for r in se.correlation_pairs(df, 0.9).collect())
+    assert [b[:4] for b in blocks] == [w[:4] for w in whole]
+    np.testing.assert_allclose([b[4] for b in blocks], [w[4] for w in whole])
 
 
 def test_low_variance_and_absent_names(spark, data):
