@@ -113,10 +113,10 @@ def spaced_words(text: str) -> list[str]:
     """Words with the white space before them, for byte-level tokenizers.
 
     Their tokens do not go from a word on to white space. Where words stand apart by one space or
-    line end each, as most do, a chunk is a word alone (a space before it) or a line end and
+    line end each and by nothing else, as most do, a chunk is a word alone (a space before it) or a line end and
     a word, which plain splitting finds.
     """
-    if WHOLE not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+    if WHOLE not in text and " ".join(text.split()) == text.replace("\n", " "):
         chunks = text.replace("\n", " \n").split(" ")
         chunks[0] = WHOLE + chunks[0]
         return chunks

@@ -65,3 +65,9 @@ def test_shuffled_reads_nulls_repeats_and_empty(spark, tmp_path):
     assert [r.doc_id for r in one] == [9]
     empty = with_starts(write_records(df.limit(0), BYTES, 2, 50_257, folder=str(tmp_path)))
     assert read_records(empty).collect() == []
+
+
+def test_other_white_space_does_not_cut_line_ends_apart():
+    texts = ["a\tb\tc\n\n", "10\u00a0km est loin.\n\n\nvoici 20\u00a0km", "name\tvalue\n\n\nx\ty", "a\r\nb  c", " a\tb", "a\u2028b  ", "\n", "a b\nc"]
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in BYTES()(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
