@@ -94,3 +94,36 @@ def test_order_independent_and_incremental(spark):
         likeness(F.col("fw"), F.col("fx")).alias("one"),
     ).first()
     assert r.order and r.plus and r.minus and r.one == 1 and r.hex == shown(vector("a\nb\nc"))
+
+
+def lanes_of(text):
+    """Lanes as they are, reduced by nothing, and the number of paragraphs."""
+    lines, n = np.unique(units(text), return_counts=True)
+    bits = []
+    for seed in range(2):
+        start = struct.pack("<i", seed)
+        h = np.array([xxhash.xxh64_intdigest(start, xxhash.xxh64_intdigest(p.encode(), 42)) for p in lines.tolist()], np.uint64)
+        bits += [int(n @ (h >> np.uint64(b) & np.uint64(1)).astype(np.int64)) for b in range(64)]
+    return 2 * np.array(bits) - n.sum()
+
+
+def test_200_000_lines(spark):
+    many, same = "\n".join(f"line {i}" for i in range(200_000)), "the same\n" * 200_000
+    df = spark.createDataFrame([(many, same, many[: len(many) // 2])], "x string, y string, z string").repartition(1)
+    for c in "xyz":
+        df = with_fingerprint(df, F.col(c), "f" + c)
+    df = df.select(likeness(F.col("fx"), F.col("fz")), likeness(F.col("fy"), F.col("fx")), likeness(add(F.col("fx"), F.col("fy")), F.col("fy")))
+    x, y, z = (lanes_of(t).astype(float) for t in (many, same, many[: len(many) // 2]))
+    pairs = [(x, z), (y, x), (x + y, y)]
+    want = [max(0, 1 - ((a - b) ** 2).mean() / ((a * a).mean() + (b * b).mean())) for a, b in pairs]
+    assert list(df.first()) == pytest.approx(want, abs=2e-6)
+
+
+def test_long_fingerprints_add_and_subtract(spark):
+    df = spark.createDataFrame([("\n".join(f"x{i}" for i in range(70_000)), "\n".join(["y"] * 70_000))], "x string, y string")
+    df = df.withColumn("both", F.concat_ws("\n", "y", "x"))
+    for c in ("x", "y", "both"):
+        df = with_fingerprint(df, F.col(c), "f" + c)
+    plus, minus = add(F.col("fx"), F.col("fy")), subtract(F.col("fboth"), F.col("fy"))
+    r = df.select((plus == F.col("fboth")).alias("plus"), (minus == F.col("fx")).alias("minus"), as_hex(F.col("fy")).alias("hex")).first()
+    assert r.plus and r.minus and r.hex == shown(vector("\n".join(["y"] * 70_000)))
