@@ -45,8 +45,7 @@ class ChunkCache:
 
     ``cut`` cuts a text where no token can cross, and ``learn`` maps new chunks to their packed ids. At
     ``size`` chunks the newer half goes: frequent chunks come early and stay. Chunks longer than
-    ``longest`` are not kept. Both bound the cache's memory. A text with white space that the
-    tokenizers' patterns treat differently from Python's is one chunk.
+    ``longest`` are not kept. Both bound the cache's memory.
     """
 
     def __init__(
@@ -74,7 +73,7 @@ class ChunkCache:
         known = self.known
         ready, new = [], {}  # a dict, as its order makes the cache the same in every run
         for text in texts:
-            chunks = [WHOLE + text] if _ODD_SPACE.search(text) else self.cut(text)
+            chunks = self.cut(text)
             found = list(map(known.get, chunks))
             gaps = [(i, chunks[i]) for i, f in enumerate(found) if f is None]
             new.update((c, b"") for _, c in gaps)
@@ -139,10 +138,25 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+def cut_at_added(cut: Callable[[str], list[str]], strings: list[str]) -> Callable[[str], list[str]]:
+    """``cut`` for what stands between ``strings``, which are looked for in the raw text, the longest first."""
+    apart = re.compile(f"({'|'.join(map(re.escape, sorted(strings, key=len, reverse=True)))})").split
+
+    def run(text: str) -> list[str]:
+        if not any(s in text for s in strings):
+            return cut(text)
+        return [c for k, part in enumerate(apart(text)) if part for c in ([WHOLE + part] if k % 2 else cut(part))]
+
+    return run
+
+
 @lru_cache(maxsize=4)
-def chunked_tokenizer(path: str, cut: Callable[[str], list[str]], lower: bool = False) -> ChunkCache:
-    """A tokenizers file behind a chunk cache; strings of special tokens in texts are plain text.
+def chunked_tokenizer(path: str, cut: Callable[[str], list[str]], lower: bool = False, special: bool = False) -> ChunkCache:
+    """A tokenizers file behind a chunk cache.
 
+    Strings of special tokens in texts are plain text, or with ``special`` their tokens, which is the library's
+    default. A text, or what lies between two such tokens, is one chunk if it has white space that the tokenizers'
+    patterns treat differently from Python's.
     Plain words go straight to the library's model, all else through its whole course.
     ``lower`` says that the tokenizer lower-cases and drops white space. A Python worker keeps the tokenizer, and what
     the cache has learned, from task to task.
@@ -151,7 +165,15 @@ def chunked_tokenizer(path: str, cut: Callable[[str], list[str]], lower: bool =
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = True  # as chunks may be lower-cased, special tokens are found before
+    added = tokenizer.get_added_tokens_decoder() if special else {}
+    if any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added.values()):
+        raise ValueError("An added token of the file is not to be found in raw text as it stands")
+    tokens = {WHOLE + t.content: array("I", [i]).tobytes() for i, t in added.items()}
+
+    def chunks_of(text: str) -> list[str]:
+        return [WHOLE + text] if _ODD_SPACE.search(text) else cut(text)
+
     model, letters = tokenizer.model, dict(enumerate(_byte_letters()))
     gap = letters[ord(" ")]
 
@@ -167,6 +189,9 @@ def chunked_tokenizer(path: str, cut: Callable[[str], list[str]], lower: bool =
     def learn(chunks: list[str]) -> list[bytes]:
         out, rest = [b""] * len(chunks), []
         for i, chunk in enumerate(chunks):
+            if chunk in tokens:
+                out[i] = tokens[chunk]
+                continue
             text = spell(chunk)
             word = _PLAIN(text)
             if word is None:
@@ -181,5 +206,5 @@ def chunked_tokenizer(path: str, cut: Callable[[str], list[str]], lower: bool =
             out[i] = array("I", found.ids).tobytes()
         return out
 
-    cache = ChunkCache(cut, learn)
+    cache = ChunkCache(cut_at_added(chunks_of, [t.content for t in added.values()]) if added else chunks_of, learn)
     return cache

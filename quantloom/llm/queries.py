@@ -50,7 +50,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    tokenizer = partial(chunked_tokenizer, public_tokenizers.path("word_bpe_49k.json"), words, lower=True)
+    tokenizer = partial(chunked_tokenizer, public_tokenizers.path("word_bpe_49k.json"), words, lower=True, special=True)
     made = pack_documents(docs, tokenizer, end_id=1, size=4096)
     return made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
@@ -78,7 +78,7 @@ def _scored(docs: DataFrame, held_out: Column, score: Column) -> DataFrame:
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents")
-    index = write_records(docs, partial(chunked_tokenizer, path, spaced_words), end_id=2, vocabulary=50_257)
+    index = write_records(docs, partial(chunked_tokenizer, path, spaced_words, special=True), end_id=2, vocabulary=50_257)
     return read_records(with_starts(index)).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

@@ -96,3 +96,24 @@ def test_nulls_repeats_long_texts_and_empty(spark):
     check(rows, 4096)
     assert all(r.length == 4096 for r in rows if r.doc_id == 2 and r.piece < 7)
     assert pack_documents(df.limit(0), tokenizer, 1).collect() == []
+
+
+QUOTES = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|startoftext|>x\n\n<|endoftext|> ", "A <|ENDOFTEXT|> b <|endoftext|", "\x1c a <|endoftext|>b", "\0 <|endoftext|> Of"]
+
+
+@pytest.mark.parametrize("name,cut,lower", [("word_bpe_49k.json", words, True), ("byte_bpe_50k.json", spaced_words, False)])
+def test_special_tokens_in_texts_as_by_the_plain_library(name, cut, lower):
+    plain = Tokenizer.from_file(public.path(name))
+    got = [x.tolist() for x in chunked_tokenizer(public.path(name), cut, lower, special=True)(QUOTES)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in QUOTES]
+
+
+def test_queries_take_quoted_special_tokens_as_tokens(spark, tmp_path):
+    from quantloom.llm.queries import op6_binary_records
+
+    rows = [(k, t) for k, t in enumerate(QUOTES)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, end in ((op4_best_fit_packing, "word_bpe_49k.json", 1), (op6_binary_records, "byte_bpe_50k.json", 2)):
+        plain = Tokenizer.from_file(public.path(name))
+        want = {k: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for k, t in rows}
+        assert {r.doc_id: r.ids_crc32 for r in query(spark, str(tmp_path)).collect()} == want
