@@ -28,9 +28,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that have letters and fit one of the learned languages."""
+    """Keep the documents that have letters and fit one of the learned languages.
+
+    Where no row names a language there is nothing to fit, and every text with letters stays.
+    """
     prepare(spark)
-    found = predict_lang(F.col("text"), learn_profiles(docs))
+    profiles = learn_profiles(docs)
+    if not profiles.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = predict_lang(F.col("text"), profiles)
     return docs.where((found["lang_pred"] != UND) & (found["score"] >= MIN_SCORE))
 
 

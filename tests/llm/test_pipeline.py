@@ -51,3 +51,10 @@ def test_edge_rows_pass_through_all_stages(spark):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "best_fit_packing"]
+
+
+def test_without_any_language_texts_with_letters_stay(spark):
+    rows = [(1, "the words", None), (2, "12 ... 34", None), (3, None, None), (None, "é", None), (5, "中", None), (6, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, df, FOLDER)
+    assert kept.columns == df.columns and {r.text for r in kept.collect()} == {"the words", "é", "中"}
