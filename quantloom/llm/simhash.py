@@ -58,8 +58,9 @@ def simhash(text: Column, shingle: int = 3, seed: int = 42) -> Column:
 
 
 def _masks(width: int, radius: int) -> list[int]:
-    """XOR masks of the Hamming ball without its centre."""
-    return [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(width), r)]
+    """XOR masks of the Hamming ball without its centre, as signed 64-bit numbers."""
+    made = [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(width), r)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in made]
 
 
 def spanning_links(x: np.ndarray, y: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
