@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import public_tokenizers
@@ -19,6 +20,8 @@ from quantloom.llm.records import read_records, with_starts, write_records
 from quantloom.llm.rules import FIELDS, references, verdict
 from quantloom.llm.simhash import near_duplicates
 from quantloom.llm.toxicity import learn_toxicity, toxicity
+from quantloom.llm.warc import read_archive, restore, write_archive
+from quantloom.session import checkpoint_root
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +148,39 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, held_out, quality(F.col("text"), model))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/quantloom/warc-{uuid.uuid4().hex}"
+    headers = write_archive(table(spark, sf_dir, "pages"), path)
+    return restore(read_archive(spark, path), headers).select(
+        "page_id",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
+# Base32 of the SHA-1 from its 8 groups of 5 hex digits, each 4 letters of 5 bits.
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INTEGER + 1, 1)"
+    for i in range(8)
+    for k in range(4)
+)
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, payload, sha1(payload) AS h,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS rn,
+    max(page_id) OVER (PARTITION BY payload) AS top
+  FROM p
+)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN rn = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN rn = 1 THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -156,5 +192,6 @@ QUERIES = {
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_warc_archive": op11_warc_archive,
 }
-SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL}
+SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL, "op11_warc_archive": OP11_SQL}
