@@ -153,11 +153,7 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/quantloom/warc-{uuid.uuid4().hex}"
     headers = write_archive(table(spark, sf_dir, "pages"), path)
     return restore(read_archive(spark, path), headers).select(
-        "page_id",
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        "refers_to",
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 

@@ -151,28 +151,26 @@ def write_archive(
     )
     headers = materialise(headed.withColumn("head", head).drop("url", "top_url", "block_bytes"), "warc-headers")
 
-    # Payload bytes, once per SHA-256; unequal bytes under one digest fail the job.
-    store = rows.groupBy("payload_sha256").agg(F.min("payload").alias("low"), F.max("payload").alias("high"))
-    store = store.select(
-        "payload_sha256",
-        F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.lit("SHA-256 shared by unequal payloads"))).alias("payload"),
-    )
+    # Payload bytes once per SHA-256, one copy a map task; a record whose own SHA-1 differs from
+    # that of the bytes stored under its address fails ``restore``.
+    store = rows.groupBy("payload_sha256").agg(F.any_value("payload").alias("payload"))
     responses = headers.where("record_type = 'response'").join(store, "payload_sha256")
     http = F.concat(F.lit(HTTP_HEAD), F.col("payload_bytes").cast("string"), F.lit(RECORD_END))
     text = F.concat(F.col("head"), F.lit("\r\n"), http)
-    out = responses.select("record_id", F.concat(text, F.col("payload").cast("string")).alias("value")).unionByName(
-        headers.where("record_type = 'revisit'").select("record_id", text.alias("value"))
+    out = responses.select(F.concat(text, F.col("payload").cast("string")).alias("value")).unionByName(
+        headers.where("record_type = 'revisit'").select(text.alias("value"))
     )
     stored, records = headers.agg(
         F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes"))), F.count("*")
     ).first()
-    files = max(1, math.ceil(((stored or 0) + 512 * records) / file_bytes))  # 512: a record's head, about
+    per_file = max(1, file_bytes * records // max(1, (stored or 0) + 512 * records))  # 512: a head, about
+    # Files follow the partitions of the join (no further shuffle); a file rolls over at the
+    # number of records that hold about ``file_bytes`` on average.
     (
-        out.repartition(files, "record_id")
-        .select("value")
-        .write.mode("overwrite")
+        out.write.mode("overwrite")
         .option("lineSep", RECORD_END)
         .option("compression", "gzip")
+        .option("maxRecordsPerFile", per_file)
         .text(path)
     )
     return headers
@@ -220,28 +218,44 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore(archive: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per original page: page_id, record_type, refers_to, payload, payload_digest.
+    """One row per original page: page_id, record_type, refers_to, payload, payload_bytes, payload_digest.
 
-    Records meet their stored headers by record id (a record whose head differs from the
-    stored one fails the job), and revisits take the payload of the response they name.
-    Every payload's digest is taken again from the restored bytes.
+    Records meet their stored headers by record id (a record whose head differs from the stored
+    one fails the job), and revisits take the payload of the response they name. Length and
+    SHA-1 are taken again from the restored bytes, next to each response's payload as it is
+    parsed; a record whose own SHA-1 (from its page's bytes, in its head) differs from that of
+    the bytes it gets fails the job, so a SHA-256 shared by unequal payloads cannot pass. A
+    query that keeps only lengths and digests moves no payload through the joins.
     """
-    known = headers.select("record_id", "page_id", "record_type", "refers_to", F.col("head").alias("stored_head"))
+    known = headers.select("record_id", "page_id", "record_type", "refers_to", "payload_digest", F.col("head").alias("stored_head"))
     same = F.when(F.col("head") == F.col("stored_head"), F.lit(True))
     records = (
         archive.withColumnRenamed("refers_to", "refers_to_record")
+        .withColumn("found_bytes", F.octet_length("payload").cast("bigint"))
+        .withColumn("found_digest", base32_sha1(F.col("payload")))
         .join(known, "record_id")
         .where(same.otherwise(F.raise_error(F.lit("WARC head differs from the stored one"))))
     )
-    responses = records.where("warc_type = 'response'").select(F.col("record_id").alias("refers_to_record"), "payload")
+    kept = ["page_id", "record_type", "refers_to", "payload_digest", "payload", "found_bytes", "found_digest"]
+    responses = records.where("warc_type = 'response'").select(
+        F.col("record_id").alias("refers_to_record"), "payload", "found_bytes", "found_digest"
+    )
     revisits = records.where("warc_type = 'revisit'")
     counts = revisits.groupBy("refers_to_record").agg(F.count("*").alias("n"))
     filled = salted_join(
-        revisits.select("page_id", "record_type", "refers_to", "refers_to_record", F.xxhash64("record_id").alias("spread")),
+        revisits.select("page_id", "record_type", "refers_to", "payload_digest", "refers_to_record", F.xxhash64("record_id").alias("spread")),
         responses.join(counts, "refers_to_record"),
         ["refers_to_record"],
         "n",
         F.col("spread"),
-    ).select("page_id", "record_type", "refers_to", "payload")
-    whole = records.where("warc_type = 'response'").select("page_id", "record_type", "refers_to", "payload").unionByName(filled)
-    return whole.select("page_id", "record_type", "refers_to", "payload", base32_sha1(F.col("payload")).alias("payload_digest"))
+    ).select(*kept)
+    whole = records.where("warc_type = 'response'").select(*kept).unionByName(filled)
+    checked = F.when(F.col("found_digest") == F.col("payload_digest"), F.col("found_digest"))
+    return whole.select(
+        "page_id",
+        "record_type",
+        "refers_to",
+        "payload",
+        F.col("found_bytes").alias("payload_bytes"),
+        checked.otherwise(F.raise_error(F.lit("payload differs from the page's own SHA-1"))).alias("payload_digest"),
+    )
