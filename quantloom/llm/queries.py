@@ -21,6 +21,7 @@ from quantloom.llm.rules import FIELDS, references, verdict
 from quantloom.llm.simhash import near_duplicates
 from quantloom.llm.toxicity import learn_toxicity, toxicity
 from quantloom.llm.trie import prefix_nodes, rebuilt
+from quantloom.llm.variants import variant_groups
 from quantloom.llm.warc import read_archive, restore, write_archive
 from quantloom.session import checkpoint_root
 
@@ -161,6 +162,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_nodes(rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(table(spark, sf_dir, "documents"))
+
+
 # Base32 of the SHA-1 from its 8 groups of 5 hex digits, each 4 letters of 5 bits.
 _B32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INTEGER + 1, 1)"
@@ -195,5 +200,6 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_warc_archive": op11_warc_archive,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL, "op11_warc_archive": OP11_SQL}
