@@ -7,6 +7,7 @@ the cells are counted exactly, and only the cell that holds the wanted rank goes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,9 @@ from quantloom.session import materialise
 GROUP_ROWS = 1_000_000
 CELLS = 64
 BROADCAST_TARGETS = 50_000
+ACCURACY = 10_000  # of the sketch: ranks within n / ACCURACY; raised for large groups
+BRACKET_ROWS = 250_000  # values a bracket should hold at most, about
+MARGIN = 3  # sketch errors a bracket reaches on each side of its quantile
 
 
 def exact_quantiles(
@@ -25,41 +29,72 @@ def exact_quantiles(
     qs: Sequence[float],
     by: Sequence[str] = (),
     group_rows: int = GROUP_ROWS,
+    accuracy: int | None = None,
+    margin: float = MARGIN,
 ) -> DataFrame:
-    """Linearly interpolated quantiles: ``(*by, q, value)``; missing values are left out."""
-    by = list(by)
-    values = df.select(*by, F.col(value).cast("double").alias("value")).where("value is not null")
-    sizes = values.groupBy(*by).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    points = F.array(*[F.lit(float(q)) for q in qs])
-    if largest <= group_rows:
-        found = values.groupBy(*by).agg(F.percentile("value", points).alias("found"))
-        return found.where("found is not null").select(
-            *by, F.posexplode("found").alias("_i", "value")
-        ).select(*by, points[F.col("_i")].alias("q"), "value")
-    return _interpolate(_narrowed(values, sizes, by, qs, group_rows), by)
-
+    """Linearly interpolated quantiles: ``(*by, q, value)``; missing values are left out.
 
-def _narrowed(values, sizes, by, qs, group_rows) -> DataFrame:
-    """Values at the two ranks around every quantile: ``(*by, q, n, rank, value)``."""
-    at = (F.col("n") - 1) * F.col("q")
-    targets = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    targets = targets.withColumn(
-        "rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))
+    Three passes over the values, none of which moves them all: a mergeable sketch per group
+    (``percentile_approx``, partial aggregates only) brackets every wanted rank by two values;
+    one pass counts the rows below each bracket and sends on only the values inside it, as
+    (value, count); the bracket is then ranked exactly. A bracket that misses its rank, or that
+    holds more than ``group_rows`` distinct values, is cut into cells until it fits, so results
+    are exact whatever the sketch does. A null group key is a group of its own; a group with
+    no value gives no row.
+    """
+    by = list(by)
+    cell = F.to_json(F.struct(*by)) if by else F.lit("")
+    values = df.select(*by, F.col(value).cast("double").alias("value")).where("value is not null").withColumn("cell", cell)
+    if accuracy is None:
+        largest = values.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        accuracy = int(min(1_000_000, max(ACCURACY, math.ceil(2 * margin * largest / BRACKET_ROWS))))
+    wide = margin / accuracy
+    probs = sorted({min(1.0, max(0.0, round(q + d, 12))) for q in qs for d in (-wide, wide)})
+    stats = values.groupBy("cell", *by).agg(
+        F.count("*").alias("n"), F.percentile_approx("value", probs, accuracy).alias("sketch")
     )
-    # `cell` names the part of a group a target lies in; `skip` counts the smaller values left out.
-    targets = materialise(
-        targets.withColumn("cell", F.to_json(F.struct(*by)) if by else F.lit("")).withColumn(
-            "skip", F.lit(0).cast("long")
-        ),
-        "targets",
+    at = (F.col("n") - 1) * F.col("q")
+    spots = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(probs.index(min(1.0, max(0.0, round(q - wide, 12))))).alias("lo"), F.lit(probs.index(min(1.0, max(0.0, round(q + wide, 12))))).alias("hi")) for q in qs])
+    targets = stats.select("cell", *by, "n", "sketch", F.explode(spots).alias("t")).select(
+        "cell",
+        *by,
+        "n",
+        F.col("t.q").alias("q"),
+        # No bound where the bracket reaches past the ends of the group.
+        F.when(F.col("t.q") - wide > 0, F.col("sketch")[F.col("t.lo")]).alias("lo"),
+        F.when(F.col("t.q") + wide < 1, F.col("sketch")[F.col("t.hi")]).alias("hi"),
     )
-    cell = F.to_json(F.struct(*by)) if by else F.lit("")
-    # Equal values become one row with a count, so a value held by a third of all rows is one row.
-    current = values.groupBy(cell.alias("cell"), "value").agg(F.count("*").alias("c"))
-    current = materialise(current, "distinct")
-    # One row per target, so bounded by groups x quantiles; a hot cell must not be shuffled whole.
+    targets = targets.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
+    targets = materialise(targets, "targets")
     small = F.broadcast if targets.count() <= BROADCAST_TARGETS else lambda table: table
+    bounds = targets.select("cell", "q", "lo", "hi").distinct()
+    inside = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    joined = values.select("cell", "value").join(small(bounds), "cell")
+    counted = joined.groupBy("cell", "q").agg(
+        F.sum((F.col("value") < F.col("lo")).cast("long")).alias("below"), F.sum(inside.cast("long")).alias("held")
+    )
+    targets = targets.join(counted, ["cell", "q"]).select(
+        *by, "q", "n", "rank", "cell", F.coalesce("below", F.lit(0)).alias("skip"), F.coalesce("held", F.lit(0)).alias("held")
+    )
+    hit = (F.col("rank") - F.col("skip") >= 0) & (F.col("rank") - F.col("skip") < F.col("held"))
+    targets = materialise(targets.withColumn("hit", hit), "targets")
+    bracket = F.concat_ws("#", "cell", F.col("q").cast("string"))
+    current = joined.where(inside).groupBy(bracket.alias("cell"), "value").agg(F.count("*").alias("c"))
+    found = targets.where("hit").select(*by, "q", "n", "rank", bracket.alias("cell"), "skip")
+    # The rare target its bracket missed takes its whole group again, from rank 0.
+    whole = F.concat(bracket, F.lit("#all"))
+    missed = targets.where("not hit").select(*by, "q", "n", "rank", whole.alias("cell"), F.lit(0).cast("long").alias("skip"))
+    if missed.limit(1).count():
+        again = values.join(small(targets.where("not hit").select("cell", "q").distinct()), "cell")
+        current = current.unionByName(again.groupBy(whole.alias("cell"), "value").agg(F.count("*").alias("c")))
+        found = found.unionByName(missed)
+    return _interpolate(_refine(materialise(current, "distinct"), materialise(found, "targets"), by, group_rows, small), by)
+
+
+def _refine(current: DataFrame, targets: DataFrame, by, group_rows, small) -> DataFrame:
+    """Values at the ranks of ``targets`` ``(*by, q, n, rank, cell, skip)`` among ``current``
+    ``(cell, value, c)``: cells above ``group_rows`` distinct values are cut by approximate
+    split points and counted until they fit, then ranked exactly."""
     while (_largest(current) or 0) > group_rows:
         splits = current.groupBy("cell").agg(
             F.array_distinct(
