@@ -249,12 +249,15 @@ def _pair_sums(values: DataFrame, width: int) -> DataFrame:
     """Sums over the rows in which both features of a pair have a value: ``a, b, n, sx, sy, sxx, syy, sxy``.
 
     One scan. A task adds up matrices of ``width`` by ``width`` and hands on one row per pair, so
-    there are no more tasks than cores. Values are taken from a first value of
-    their feature, which keeps the sums exact for constant features and small for others.
+    there are no more tasks than cores. Values are taken from their feature's least value over
+    all rows (one aggregate), which makes the sums of a constant feature exactly zero and keeps
+    the others small.
     """
+    least = values.select(F.posexplode("v").alias("f", "x")).groupBy("f").agg(F.min("x").alias("m")).collect()
     first = np.zeros(width)
-    for row in reversed(values.limit(200).collect()):
-        first = np.array([f if v is None else v for v, f in zip(row[0], first)]) if row[0] is not None else first
+    for row in least:  # one row a feature
+        if row["m"] is not None and np.isfinite(row["m"]):
+            first[row["f"]] = row["m"]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sx, sxx, sxy = (np.zeros((width, width)) for _ in range(4))
@@ -281,6 +284,7 @@ def _pair_sums(values: DataFrame, width: int) -> DataFrame:
 
 
 _PAIR_ROWS = 100_000
+_ROUNDING = 1e-12  # relative spread that sums of doubles cannot tell from none
 _PAIR_NAMES = ["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
@@ -291,7 +295,8 @@ def correlation_pairs(
 
     Over the rows in which both have a value. A pass handles at most ``width`` features, as its
     sums grow with their square; wider arrays take one pass per pair of half-width column
-    blocks. Constant features never qualify. The pairs stay in Spark.
+    blocks. Features constant over the rows a pair shares never qualify, wherever their values
+    begin; correlations are at most 1. The pairs stay in Spark.
     """
     names = feature_names(df, column)
     every = F.split(F.lit("\n".join(names)), "\n")
@@ -302,9 +307,14 @@ def correlation_pairs(
         sums = _pair_sums(df.select(values.alias("v")), len(block))
         at = F.array(*[F.lit(i) for i in block]) if not whole else None
         i, j = (F.col("a"), F.col("b")) if whole else (F.get(at, F.col("a")), F.get(at, F.col("b")))
-        spread = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
-        r = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(spread > 0, spread)))
-        found.append(sums.select(i.alias("i"), j.alias("j"), F.abs(r).alias("correlation")).where(F.col("correlation") >= threshold))
+        # A spread below rounding of its own sums is none: the feature is constant over the
+        # rows the pair shares, and such a pair has no correlation.
+        sx_spread = F.col("n") * F.col("sxx") - F.col("sx") ** 2
+        sy_spread = F.col("n") * F.col("syy") - F.col("sy") ** 2
+        real = (sx_spread > _ROUNDING * F.col("n") * F.col("sxx")) & (sy_spread > _ROUNDING * F.col("n") * F.col("syy"))
+        spread = F.when(real, sx_spread * sy_spread)
+        r = F.when(real, F.least(F.abs((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)), F.lit(1.0)))
+        found.append(sums.select(i.alias("i"), j.alias("j"), r.alias("correlation")).where(F.col("correlation") >= threshold))
     pairs = reduce(DataFrame.union, found)
     if len(found) > 1:  # features of one block meet in several passes
         pairs = pairs.groupBy("i", "j").agg(F.max("correlation").alias("correlation"))

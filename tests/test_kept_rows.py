@@ -111,3 +111,21 @@ def test_correlation_over_complete_pairs(spark):
         got = {(r.a, r.b): r.correlation for r in correlation_pairs(pack_features(table, R), 0.01, width=width).collect()}
         pairs = {(a, b) for i, a in enumerate(names[:4]) for b in names[i + 1 : 4] if want.loc[a, b] >= 0.01}
         assert set(got) == pairs and all(got[p] == pytest.approx(want.loc[p]) for p in pairs)
+
+
+def test_constants_behind_a_gap_never_pair(spark):
+    rng = np.random.default_rng(9)
+    n = 700
+    x = np.column_stack([np.full(n, 3.7), np.full(n, -0.3), rng.normal(size=n), rng.normal(size=n)])
+    x[:300] = np.nan  # 300 empty leading rows
+    x[300:400, 3] = 5.0  # constant over the rows it shares with feature 2 below
+    x[400:, 2] = np.nan
+    names = [f"feature_{i}" for i in range(4)]
+    table = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(row_id=range(n))).select(
+        "row_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names]
+    )
+    for width in (2000, 2):
+        got = correlation_pairs(pack_features(table, R), 0.0, width=width).collect()
+        assert all(r.correlation <= 1.0 for r in got)
+        pairs = {(r.a, r.b) for r in got}
+        assert not pairs & {("feature_0", "feature_1"), ("feature_0", "feature_2"), ("feature_2", "feature_3")}
