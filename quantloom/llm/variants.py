@@ -1,7 +1,7 @@
 """Spelling variants: words one edit apart, found by probing edits against Bloom filters.
 
 Every vocabulary word gets a blocked Bloom filter bit pattern in the shard of its length: one
-block of 512 bits picked by one hash, ``PROBE_BITS`` bits in it by another. Shards are built in
+block of 512 bits picked by its key, ``PROBE_BITS`` bits in it by a second mix of the key. Shards are built in
 tasks and OR-ed together by Spark, then broadcast; their size is bounded by ``MAX_FILTER_BYTES``
 whatever the vocabulary (a fuller filter only lets more false positives through). Each word then
 probes its deletions and substitutions against the shard of the probe's length; insertions need
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,33 +57,74 @@ def vocabulary(docs: DataFrame, min_chars: int = 7, min_count: int = 2, id_col:
     )
 
 
-def _hashes(word: str) -> tuple[int, int]:
-    raw = word.encode("utf-8")
-    return xxhash.xxh64_intdigest(raw, seed=0), xxhash.xxh64_intdigest(raw, seed=1)
+# Probe keys: a polynomial hash of code points modulo 2^64, so that the key of every deletion
+# and substitution of a word follows from the word's prefix sums in a few vector operations;
+# block and bits come from a SplitMix64 finish of it. Unequal strings with one key only add
+# false positives, which the exact join removes.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_CHUNK = 1 << 22  # probe keys a vector holds at most
 
 
-def _bits(second: int) -> list[tuple[int, int]]:
-    """(lane, bit) of the probe bits in a block."""
-    found = []
-    for i in range(PROBE_BITS):
-        p = (second >> (9 * i)) & (BLOCK_BITS - 1)
-        found.append((p >> 6, p & 63))
-    return found
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(length: int) -> np.ndarray:
+    out = np.ones(max(length, 1), np.uint64)
+    for k in range(1, length):
+        out[k] = out[k - 1] * _BASE
+    return out
+
+
+def _codes(words: list[str], length: int) -> np.ndarray:
+    """(words, length) code points plus one; all code points of runs are below 256."""
+    raw = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), length)
+    return raw.astype(np.uint64) + np.uint64(1)
+
+
+def _prefix(codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        terms = codes * _powers(codes.shape[1])[None, :]
+        return np.concatenate([np.zeros((len(codes), 1), np.uint64), np.cumsum(terms, axis=1, dtype=np.uint64)], axis=1)
+
+
+def _places(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block of each key and the (lane, bit) of its ``PROBE_BITS`` bits, shape (keys, PROBE_BITS)."""
+    with np.errstate(over="ignore"):
+        first = _mix(keys)
+        second = _mix(first ^ np.uint64(0xD6E8FEB86659FD93))
+    block = (first % np.uint64(blocks)).astype(np.int64)
+    spots = np.stack([(second >> np.uint64(9 * i)) & np.uint64(BLOCK_BITS - 1) for i in range(PROBE_BITS)], axis=1)
+    return block, (spots >> np.uint64(6)).astype(np.int64), (spots & np.uint64(63))
+
+
+def _by_length(words) -> dict[int, list[int]]:
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(len(w), []).append(i)
+    return groups
 
 
 def _marks(blocks: dict[int, int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = {}
-            for word in frame["word"]:
-                size = blocks[len(word)]
-                first, second = _hashes(word)
-                block = first % size
-                for lane, bit in _bits(second):
-                    key = (len(word), block, lane)
-                    out[key] = out.get(key, 0) | (1 << bit)
-            rows = [(k[0], k[1], k[2], (v ^ (1 << 63)) - (1 << 63)) for k, v in out.items()]
-            yield pd.DataFrame(rows, columns=["length", "block", "lane", "bits"])
+            words = list(frame["word"])
+            for length, at in _by_length(words).items():
+                keys = _prefix(_codes([words[i] for i in at], length))[:, -1]
+                block, lane, bit = _places(keys, blocks[length])
+                marks = (np.uint64(1) << bit).view(np.int64)
+                yield pd.DataFrame(
+                    {
+                        "length": length,
+                        "block": np.repeat(block, PROBE_BITS),
+                        "lane": lane.ravel(),
+                        "bits": marks.ravel(),
+                    }
+                )
 
     return run
 
@@ -93,8 +133,8 @@ def build_filters(words: DataFrame) -> dict[int, np.ndarray]:
     """Blocked Bloom filter per word length: an array (blocks, 8) of 64-bit lanes.
 
     Blocks a shard gets: enough for ``BITS_PER_WORD`` bits a word, all shards scaled down
-    together to at most ``MAX_FILTER_BYTES``. Only the counts a length and the OR-ed filters
-    reach the driver.
+    together to at most ``MAX_FILTER_BYTES``. Marks are made in tasks and OR-ed by Spark; only
+    the counts a length and the filters reach the driver.
     """
     sizes = {r["length"]: r["count"] for r in words.groupBy(F.char_length("word").alias("length")).count().collect()}
     wanted = {k: max(1, math.ceil(v * BITS_PER_WORD / BLOCK_BITS)) for k, v in sizes.items()}
@@ -109,40 +149,54 @@ def build_filters(words: DataFrame) -> dict[int, np.ndarray]:
     return filters
 
 
-def _edits(word: str, letters: str) -> Iterator[tuple[str, bool]]:
-    """Distinct deletions (True) and substitutions (False) of ``word``, not the word itself."""
-    seen = {word}
-    for i in range(len(word)):
-        cut = word[:i] + word[i + 1 :]
-        if cut not in seen:
-            seen.add(cut)
-            yield cut, True
-    for i in range(len(word)):
-        for c in letters:
-            made = word[:i] + c + word[i + 1 :]
-            if made not in seen:
-                seen.add(made)
-                yield made, False
+def _hits(shard: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    if shard is None:
+        return np.zeros(keys.shape, bool)
+    flat = keys.ravel()
+    block, lane, bit = _places(flat, len(shard))
+    found = np.ones(len(flat), bool)
+    for i in range(PROBE_BITS):
+        found &= ((shard[block, lane[:, i]] >> bit[:, i]) & np.uint64(1)).astype(bool)
+    return found.reshape(keys.shape)
 
 
 def _probe(filters, letters: str, min_chars: int):
+    """Deletions and substitutions of each word whose keys the filter of their length holds."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shards = filters.value
+        swap = np.frombuffer(letters.encode("latin-1"), np.uint8).astype(np.uint64) + np.uint64(1)
         for frame in frames:
-            sources, targets, deletes, counts = [], [], [], []
-            for word, n in zip(frame["word"], frame["n"], strict=True):
-                for made, deleted in _edits(word, letters):
-                    shard = shards.get(len(made))
-                    if shard is None or len(made) < min_chars:
-                        continue
-                    first, second = _hashes(made)
-                    block = shard[first % len(shard)]
-                    if all(int(block[lane]) >> bit & 1 for lane, bit in _bits(second)):
-                        sources.append(word)
-                        targets.append(made)
-                        deletes.append(deleted)
-                        counts.append(n)
-            yield pd.DataFrame({"source": sources, "target": targets, "deleted": deletes, "source_n": counts})
+            words, counts = list(frame["word"]), frame["n"].to_numpy()
+            out: dict[str, list] = {"source": [], "target": [], "deleted": [], "source_n": []}
+            for length, at in _by_length(words).items():
+                powers = _powers(length)
+                step = max(1, _CHUNK // max(1, length * (len(swap) + 1)))
+                for start in range(0, len(at), step):
+                    part = at[start : start + step]
+                    codes = _codes([words[i] for i in part], length)
+                    prefix = _prefix(codes)
+                    whole = prefix[:, -1]
+                    with np.errstate(over="ignore"):
+                        if length - 1 >= min_chars:
+                            cut = prefix[:, :-1] + (whole[:, None] - prefix[:, 1:]) * _INVERSE
+                            for r, i in zip(*np.nonzero(_hits(shards.get(length - 1), cut)), strict=True):
+                                w = words[part[r]]
+                                out["source"].append(w)
+                                out["target"].append(w[:i] + w[i + 1 :])
+                                out["deleted"].append(True)
+                                out["source_n"].append(int(counts[part[r]]))
+                        if length >= min_chars:
+                            made = whole[:, None, None] + (swap[None, None, :] - codes[:, :, None]) * powers[None, :, None]
+                            same = swap[None, None, :] == codes[:, :, None]
+                            found = _hits(shards.get(length), made) & ~same
+                            for r, i, c in zip(*np.nonzero(found), strict=True):
+                                w = words[part[r]]
+                                out["source"].append(w)
+                                out["target"].append(w[:i] + letters[c] + w[i + 1 :])
+                                out["deleted"].append(False)
+                                out["source_n"].append(int(counts[part[r]]))
+            yield pd.DataFrame(out)
 
     return run
 
@@ -158,7 +212,7 @@ def near_pairs(words: DataFrame, min_chars: int = 7) -> DataFrame:
     found = materialise(
         words.mapInPandas(_probe(shared, letters, min_chars), "source string, target string, deleted boolean, source_n long"),
         "variant-positives",
-    )
+    ).dropDuplicates(["source", "target"])
     counts = found.groupBy(F.col("target").alias("word")).agg(F.count("*").alias("probes"))
     exact = salted_join(
         found.withColumnRenamed("target", "word"), words.join(counts, "word"), ["word"], "probes", F.xxhash64("source")
