@@ -134,32 +134,80 @@ def learn_quality(
     return fit_embeddings(rows, y, s)
 
 
+class _WordTable:
+    """Per-word sums of a model's gains, kept by a Python worker across its tasks.
+
+    Rows grow in numpy arrays; at ``size`` words the newer half goes, so frequent words,
+    which come early, stay. Memory is bounded by ``size``.
+    """
+
+    def __init__(self, model: Model, size: int | None = None):
+        self.words = Subwords(model.bits, model.grams)
+        self.gain_of = model.per_feature.astype(np.float64)
+        self.size, self.index = size or _CACHE, {}
+        self.gain, self.count, self.head = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def rows(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Row of every word of ``texts``, in order, after learning the new ones."""
+        new = set().union(*texts).difference(self.index)
+        if len(self.index) + len(new) > self.size:
+            keep = self.size // 2
+            self.index = {w: i for w, i in self.index.items() if i < keep}
+            new = set().union(*texts).difference(self.index)
+        start = len(self.index)
+        if start + len(new) > len(self.gain):
+            grown = max(2 * len(self.gain), start + len(new))
+            for name in ("gain", "count", "head"):
+                old = getattr(self, name)
+                made = np.zeros(grown, old.dtype)
+                made[:start] = old[:start]
+                setattr(self, name, made)
+        for k, w in enumerate(new, start):
+            found = self.words.of_word(w)
+            self.index[w] = k
+            self.gain[k], self.count[k], self.head[k] = self.gain_of[found].sum(), len(found), found[0]
+        get = self.index.__getitem__
+        return np.fromiter((get(w) for t in texts for w in t), np.int64)
+
+
+_TABLES: dict[tuple, _WordTable] = {}
+
+
+def _table(model: Model) -> _WordTable:
+    key = (model.bits, model.grams, model.bias, zlib.crc32(model.per_feature.tobytes()))
+    if key not in _TABLES:
+        _TABLES.clear()  # one model a worker at a time
+        _TABLES[key] = _WordTable(model)
+    return _TABLES[key]
+
+
+def score_texts(table: _WordTable, bias: float, texts: list[list[bytes]]) -> list[float]:
+    """Scores of word lists: mean gain of their words' features and neighbour pairs, softmax."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    rows = table.rows(texts)
+    starts = np.cumsum(lengths) - lengths
+    # Pairs of neighbours inside each text: every word but a text's first has one.
+    pairs = table.words.of_pairs(table.head[rows])
+    inside = np.ones(len(pairs), bool)
+    inside[starts[(lengths > 0) & (starts > 0)] - 1] = False
+    at = np.repeat(np.arange(len(texts)), lengths)
+    gains = np.bincount(at, table.gain[rows], len(texts))
+    counts = np.bincount(at, table.count[rows].astype(np.float64), len(texts))
+    if len(pairs):
+        gains += np.bincount(at[1:], np.where(inside, table.gain_of[pairs], 0.0), len(texts))
+        counts += np.bincount(at[1:], inside.astype(np.float64), len(texts))
+    z = bias + gains / np.maximum(1.0, counts)
+    return [round(float(v), 6) for v in 1 / (1 + np.exp(-np.clip(z, -30, 30)))]
+
+
 def quality(text: Column, model: Model) -> Column:
     """Score from 0 to 1 of class 1; null texts and texts without a word get the bias alone."""
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = Subwords(model.bits, model.grams)
-        gain = model.per_feature.astype(np.float64)
-        known: dict[bytes, int] = {}
-        of_word: list[tuple[float, int, int]] = []  # gain and number of its features, and its own hash
+        table = _table(model)
         for batch in batches:
-            if len(known) > _CACHE:
-                known.clear()
-                of_word.clear()
             texts = [(t or b"").split() for t in batch.to_pylist()]
-            for w in set().union(*texts).difference(known):
-                found = words.of_word(w)
-                known[w] = len(of_word)
-                of_word.append((gain[found].sum(), len(found), found[0]))
-            flat = np.array(of_word).reshape(-1, 3)
-            scores = []
-            for text in texts:
-                mine = flat[np.fromiter(map(known.__getitem__, text), np.int64, len(text))]
-                pairs = words.of_pairs(mine[:, 2].astype(np.int64))
-                n = mine[:, 1].sum() + len(pairs)
-                z = model.bias + (mine[:, 0].sum() + gain[pairs].sum()) / max(1, n)
-                scores.append(round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 6))
-            yield pa.array(scores, pa.float64())
+            yield pa.array(score_texts(table, model.bias, texts), pa.float64())
 
     return run(text.cast("binary"))

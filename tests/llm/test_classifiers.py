@@ -83,3 +83,27 @@ def test_sample_is_bounded_and_stable(spark):
     a = {r.id for r in hashed_sample(df, "id", 500).collect()}
     assert 350 < len(a) < 650 and a == {r.id for r in hashed_sample(df.repartition(7), "id", 500).collect()}
     assert hashed_sample(df.limit(20), "id", 500).count() == 20 and hashed_sample(df.limit(0), "id", 5).count() == 0
+
+
+def test_word_table_scores_like_one_text_at_a_time():
+    rng = np.random.default_rng(4)
+    model = Q.Model(rng.normal(size=1 << 10).astype(np.float32), 0.3, 10, (3, 4))
+    vocab = [bytes(rng.choice(list(b"abcdefgh"), rng.integers(1, 9))) for _ in range(300)]
+    texts = [[vocab[i] for i in rng.integers(0, 300, rng.integers(0, 40))] for _ in range(200)]
+    texts += [[], [b"same"] * 50, [b"x" * 5000]]
+    words = Q.Subwords(10, (3, 4))
+    gain = model.per_feature.astype(np.float64)
+
+    def plain(text):
+        feats = [f for w in text for f in words.of_word(w)]
+        heads = np.array([words.of_word(w)[0] for w in text], np.int64)
+        pairs = words.of_pairs(heads) if len(text) > 1 else np.zeros(0, np.int64)
+        z = model.bias + (gain[feats].sum() + gain[pairs].sum()) / max(1, len(feats) + len(pairs))
+        return round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 6)
+
+    table = Q._WordTable(model, size=64)  # small: the newer half goes again and again
+    got = []
+    for start in range(0, len(texts), 17):
+        got += Q.score_texts(table, model.bias, texts[start : start + 17])
+    assert len(table.index) <= 64 + 17 * 40
+    assert got == pytest.approx([plain(t) for t in texts], abs=2e-6)
