@@ -29,6 +29,7 @@ BLOCK_BITS = 512
 PROBE_BITS = 6
 BITS_PER_WORD = 16
 MAX_FILTER_BYTES = 64 << 20  # all shards together; the broadcast never exceeds it
+PROBE_WORDS = 50_000  # words a probing task takes, about
 
 
 def noisy_runs(text: Column, doc_id: Column) -> Column:
@@ -209,8 +210,10 @@ def near_pairs(words: DataFrame, min_chars: int = 7) -> DataFrame:
     used = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct()
     letters = "".join(sorted(r[0] for r in used.collect()))
     shared = words.sparkSession.sparkContext.broadcast(filters)
+    # Tasks of a bounded number of words, however few files the vocabulary was stored in.
+    spread = words.repartition(max(1, math.ceil(words.count() / PROBE_WORDS)), "word")
     found = materialise(
-        words.mapInPandas(_probe(shared, letters, min_chars), "source string, target string, deleted boolean, source_n long"),
+        spread.mapInPandas(_probe(shared, letters, min_chars), "source string, target string, deleted boolean, source_n long"),
         "variant-positives",
     ).dropDuplicates(["source", "target"])
     counts = found.groupBy(F.col("target").alias("word")).agg(F.count("*").alias("probes"))
