@@ -62,19 +62,33 @@ def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id") ->
     )
 
 
+def _multiset(value) -> list:
+    """Sums of two independent 64-bit hashes of the values, in 32-bit halves, as decimals."""
+    at = value.cast("bigint")
+    mask = F.lit(0xFFFFFFFF)
+    found = []
+    for h in (F.xxhash64(at), F.xxhash64(at, F.lit("second"))):
+        for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(mask)):
+            found.append(F.sum(half.cast("decimal(38,0)")))
+    return found
+
+
 def dense_rows(df: DataFrame, row_id: str) -> int | None:
     """Number of rows if ``row_id`` counts them from 0 without holes or repeats, else None.
 
-    One aggregate. A filter after indexing leaves holes; positions must then be numbered
-    anew before they are counted in.
+    The ids must lie in [0, n - 1] and, as a multiset, equal 0 .. n - 1: sums of two
+    independent 64-bit hashes of the ids are compared with those of ``range(n)``, so a
+    repeat that fills a hole passes with a chance of about 2^-128. Two aggregates, no shuffle.
+    A filter after indexing leaves holes; positions must then be numbered anew.
     """
-    at = F.col(row_id).cast("decimal(38,0)")
-    seen = df.agg(F.count("*"), F.min(row_id), F.max(row_id), F.sum(at), F.sum(at * at)).first()
+    seen = df.agg(F.count("*"), F.count(row_id), F.min(row_id), F.max(row_id), *_multiset(F.col(row_id))).first()
     n = seen[0]
     if n == 0:
         return 0
-    squares = (n - 1) * n * (2 * n - 1) // 6
-    return n if tuple(seen[1:]) == (0, n - 1, n * (n - 1) // 2, squares) else None
+    if seen[1] != n or (seen[2], seen[3]) != (0, n - 1):
+        return None
+    wanted = df.sparkSession.range(n).agg(*_multiset(F.col("id"))).first()
+    return n if tuple(seen[4:]) == tuple(wanted) else None
 
 
 def running_total(

@@ -48,6 +48,11 @@ def test_dense_or_not(spark, holes):
     assert dense_rows(spark.range(50).toDF("row_id"), "row_id") == 50
     assert dense_rows(spark.range(1, 5).toDF("row_id"), "row_id") is None
     assert dense_rows(spark.createDataFrame([(0,), (1,), (1,), (3,)], "row_id int"), "row_id") is None
+    # Same count, least, greatest, sum and sum of squares as 0..7, yet not dense.
+    odd = spark.createDataFrame([(v,) for v in [0, 2, 2, 3, 3, 4, 7, 7]], "row_id int")
+    assert dense_rows(odd, "row_id") is None
+    assert dense_rows(spark.createDataFrame([(v,) for v in [3, 0, 2, 1]], "row_id int"), "row_id") == 4
+    assert dense_rows(spark.createDataFrame([(0,), (None,), (1,)], "row_id int"), "row_id") is None
     assert dense_rows(spark.range(0).toDF("row_id"), "row_id") == 0
 
 
