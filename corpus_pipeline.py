@@ -41,9 +41,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the least id."""
+    """Keep one document of each group: the one with the least id (then fingerprint, text hash)."""
     prepare(spark)
-    return keep_representatives(docs, near_duplicates(docs, shingle=3, max_bits=3, seed=42))
+    return keep_representatives(near_duplicates(docs, shingle=3, max_bits=3, seed=42, carry=True))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

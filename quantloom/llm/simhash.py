@@ -163,17 +163,21 @@ def near_duplicates(
     max_bits: int = 3,
     seed: int = 42,
     segments: int = 2,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the least id that links of at most ``max_bits`` bits reach, the
     document itself included. Texts without a word, null ones too, have fingerprint zero
     and link like any other. Repeated ids stay as rows; a null id stays null and never
-    names a group unless all ids of the group are null. Other columns are ignored; an
-    empty table gives no rows.
+    names a group unless all ids of the group are null. Other columns are ignored, unless
+    ``carry`` adds each whole row as a struct ``row`` and ``group``, the fingerprint (hex) that
+    roots the component, which tells apart components that share a least id (repeated ids).
+    An empty table gives no rows.
     """
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     marked = materialise(
-        docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle, seed).alias("code")), "codes"
+        docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle, seed).alias("code"), *kept), "codes"
     )
     codes = marked.groupBy("code").agg(F.min("id").alias("first_id"))
     roots = components(fingerprint_links(codes, "code", max_bits, segments), "node", "root")
@@ -182,17 +186,31 @@ def near_duplicates(
     )
     least = rooted.groupBy("top").agg(F.min("first_id").alias("component_id"))
     # One row per distinct fingerprint; copies, however many, meet it in a join that AQE can split.
-    labels = materialise(rooted.join(least, "top").select("code", "component_id"), "labels")
+    labels = materialise(rooted.join(least, "top").select("code", "component_id", "top"), "labels")
     return marked.join(labels, "code").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col),
+        F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"),
+        "component_id",
+        *([F.lpad(F.lower(F.hex("top")), 16, "0").alias("group"), "row"] if carry else []),
     )
 
 
-def keep_representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id names their group, one row each; columns as they were.
+def keep_representatives(groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with the columns it had: ``groups`` from ``near_duplicates``
+    with ``carry=True``.
 
-    Rows without an id cannot be named, so all of them stay.
+    Of a group, the row with the least id stays, ties broken by fingerprint and a hash of the
+    text; so two different texts under one id each keep their own group, and of exact repeats
+    one row stays. Rows without an id cannot be named, so all of them stay. A partial
+    aggregate per group, so a group of any size is reduced where it is read.
     """
-    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    rank = F.struct(
+        F.col(f"row.`{id_col}`").alias("id"),
+        F.col("fingerprint"),
+        F.xxhash64(F.col(f"row.`{text_col}`")).alias("text"),
+    )
+    fields = groups.schema["row"].dataType.fieldNames()
+    named = F.col(f"row.`{id_col}`").isNotNull()
+    best = groups.where(named).groupBy("group").agg(F.min_by("row", rank).alias("row"))
+    rows = best.select("row").unionByName(groups.where(~named).select("row"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in fields])

@@ -97,7 +97,18 @@ def test_one_of_each_group_stays_and_columns_too(spark):
         [(2, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "z"), (None, "a b c", "q"), (4, "other words here now", "p")],
         "doc_id bigint, text string, component_id string",
     )
-    left = keep_representatives(df, near_duplicates(df))
+    left = keep_representatives(near_duplicates(df, carry=True))
     assert left.columns == df.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "None"]
     assert near_duplicates(df.withColumn("fingerprint", F.lit(1))).count() == 5
+
+
+def test_one_id_with_two_texts_keeps_both_groups(spark):
+    copy = "the same words in a row for a copy"
+    df = spark.createDataFrame(
+        [(3, copy, "a"), (5, copy, "b"), (5, "quite other words that stand alone", "c"), (5, "a third text of its own kind", "d"), (5, "a third text of its own kind", "d")],
+        "doc_id bigint, text string, row string",
+    )
+    left = keep_representatives(near_duplicates(df, carry=True))
+    assert left.columns == df.columns
+    assert sorted(r.row for r in left.collect()) == ["a", "c", "d"]
