@@ -32,26 +32,34 @@ MAX_FILTER_BYTES = 64 << 20  # all shards together; the broadcast never exceeds
 PROBE_WORDS = 50_000  # words a probing task takes, about
 
 
-def noisy_runs(text: Column, doc_id: Column) -> Column:
-    """Runs of letters, A-Z lower-cased; where 31 divides h = crc32("<doc_id>:<run>"), the run
-    loses its code point h % length. A null text has no run; a null id reads as empty."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), 0)
+def noisy(run: Column, doc_id: Column) -> Column:
+    """A run with A-Z lower-cased; where 31 divides h = crc32("<doc_id>:<run>"), it loses its
+    code point h % length. A null id reads as empty."""
+    low = F.translate(run, UPPER, LOWER)
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), low).cast("binary"))
+    at = h % F.char_length(low)
+    cut = F.concat(F.substr(low, F.lit(1), at.cast("int")), F.substr(low, (at + 2).cast("int"), F.lit(1 << 30)))
+    return F.when(h % 31 == 0, cut).otherwise(low)
 
-    def noisy(run: Column) -> Column:
-        low = F.translate(run, UPPER, LOWER)
-        h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), low).cast("binary"))
-        at = h % F.char_length(low)
-        cut = F.concat(F.substr(low, F.lit(1), at.cast("int")), F.substr(low, (at + 2).cast("int"), F.lit(1 << 30)))
-        return F.when(h % 31 == 0, cut).otherwise(low)
 
-    return F.transform(runs, noisy)
+def noisy_runs(text: Column, doc_id: Column) -> Column:
+    """Runs of letters of a text, each made ``noisy``; a null text has no run."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), 0)
+    return F.transform(runs, lambda run: noisy(run, doc_id))
 
 
 def vocabulary(docs: DataFrame, min_chars: int = 7, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(word, n)``: distinct noisy runs of at least ``min_chars`` code points found ``min_count`` times."""
-    runs = docs.select(F.explode(noisy_runs(F.col(text_col), F.col(id_col))).alias("word"))
+    """``(word, n)``: distinct noisy runs of at least ``min_chars`` code points found ``min_count`` times.
+
+    Runs are exploded first, so that the per-run work is a plain generated projection.
+    """
+    runs = docs.select(
+        F.col(id_col).alias("id"),
+        F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(RUN), 0)).alias("run"),
+    )
+    words = runs.select(noisy(F.col("run"), F.col("id")).alias("word"))
     return (
-        runs.where(F.char_length("word") >= min_chars)
+        words.where(F.char_length("word") >= min_chars)
         .groupBy("word")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_count)
