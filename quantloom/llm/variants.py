@@ -51,11 +51,15 @@ def noisy_runs(text: Column, doc_id: Column) -> Column:
 def vocabulary(docs: DataFrame, min_chars: int = 7, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(word, n)``: distinct noisy runs of at least ``min_chars`` code points found ``min_count`` times.
 
-    Runs are exploded first, so that the per-run work is a plain generated projection.
+    A noisy edit only deletes, so only runs of at least ``min_chars`` letters can give words:
+    ``RUN{min_chars,}`` finds exactly the maximal such runs (a shorter run fails at its start and
+    at every later place). Runs are exploded first, so that the per-run work is a plain
+    generated projection.
     """
+    longer = f"{RUN[:-1]}{{{max(1, min_chars)},}}"
     runs = docs.select(
         F.col(id_col).alias("id"),
-        F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(RUN), 0)).alias("run"),
+        F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(longer), 0)).alias("run"),
     )
     words = runs.select(noisy(F.col("run"), F.col("id")).alias("word"))
     return (
