@@ -39,7 +39,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_nnpu_finds_hidden_positives():
     rng = np.random.default_rng(0)
-    s = T.Settings(bits=8, epochs=30)
+    s = T.Settings(bits=8)
     text = lambda toxic: np.unique(np.concatenate((rng.integers(10, 200, 12), [3] if toxic else [4])))
     hidden = rng.random(2000) < 0.2
     rows = [text(h) for h in hidden]
@@ -107,3 +107,22 @@ def test_word_table_scores_like_one_text_at_a_time():
         got += Q.score_texts(table, model.bias, texts[start : start + 17])
     assert len(table.index) <= 64 + 17 * 40
     assert got == pytest.approx([plain(t) for t in texts], abs=2e-6)
+
+
+@pytest.mark.parametrize("clean", [2_000, 12_000])
+def test_rare_toxic_word_found_at_any_corpus_size(spark, clean):
+    """A word of 24 confirmed toxic texts marks the hidden toxic texts, however large the corpus."""
+    rng = np.random.default_rng(7)
+    common = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(500)]
+
+    def text(toxic):
+        return " ".join(rng.choice(common, 12).tolist() + (["zorblax"] if toxic else []))
+
+    rows = [(i, text(i < 24 + 40)) for i in range(clean + 64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(24)] + [(i, 0) for i in range(100, 400)], "doc_id long, toxic int")
+    model = T.learn_toxicity(docs, labels, settings=T.Settings(bits=14))
+    scored = {r.doc_id: r.s for r in docs.select("doc_id", T.toxicity(docs.text, model).alias("s")).collect()}
+    hidden = [scored[i] for i in range(24, 64)]
+    assert np.mean(np.array(hidden) >= 0.3) >= 0.9
+    assert np.mean(np.array([scored[i] for i in range(64, clean + 64)]) < 0.3) >= 0.9
