@@ -25,7 +25,7 @@ _CACHE = 200_000
 @dataclass
 class Settings:
     """``max_rows`` bounds the labelled training sample (rows, about), and ``max_features`` the
-    distinct features of a row in it; rows with more are not trained on."""
+    distinct features of a row in it; a row with more keeps a hashed sample of them."""
 
     bits: int = 16
     dims: int = 10
@@ -121,16 +121,27 @@ def learn_quality(
     label_col: str = "quality",
     settings: Settings | None = None,
 ) -> Model:
-    """Train from labelled rows only; ``labels`` should hold training rows. No labels: score 0.5."""
+    """Train from labelled rows only; ``labels`` should hold training rows. No labels: score 0.5.
+
+    An id labelled more than once takes its most frequent label (ties: the lesser); an id of
+    several texts is one example, its text of least hash. A text of more than ``max_features``
+    distinct features keeps a hashed sample of them, with their weights.
+    """
     s = settings or Settings()
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")
     )
+    votes = known.groupBy("id", "y").count()
+    known = votes.groupBy("id").agg(F.min_by("y", F.struct(-F.col("count"), F.col("y"))).alias("y"))
     # At most twice max_rows ids, so a bounded broadcast.
-    chosen = F.broadcast(hashed_sample(known, "id", s.max_rows).dropDuplicates(["id"]))
+    chosen = F.broadcast(hashed_sample(known, "id", s.max_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    texts = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = texts.select("y", sparse_column(F.col("text"), Subwords(s.bits, s.grams)).alias("f"))
-    rows, y = collect_rows(found.where(F.size("f.at") <= s.max_features).limit(3 * s.max_rows), "y")
+    pairs = F.arrays_zip(F.col("f.at").alias("at"), F.col("f.weight").alias("weight"))
+    sampled = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["at"], F.lit("feature")), F.size(pairs)) < s.max_features)
+    bounded = F.when(F.size("f.at") > s.max_features, F.struct(sampled["at"].alias("at"), sampled["weight"].alias("weight"))).otherwise(F.col("f"))
+    rows, y = collect_rows(found.select("y", bounded.alias("f")), "y")
     return fit_embeddings(rows, y, s)
 
 
