@@ -126,3 +126,16 @@ def test_rare_toxic_word_found_at_any_corpus_size(spark, clean):
     hidden = [scored[i] for i in range(24, 64)]
     assert np.mean(np.array(hidden) >= 0.3) >= 0.9
     assert np.mean(np.array([scored[i] for i in range(64, clean + 64)]) < 0.3) >= 0.9
+
+
+def test_quality_labels_by_majority_and_long_rows_kept(spark, monkeypatch):
+    """Conflicting labels of one id take the most frequent (ties: the lesser); a row over the feature bound is sampled, not dropped."""
+    seen = {}
+    real = Q.fit_embeddings
+    monkeypatch.setattr(Q, "fit_embeddings", lambda rows, y, s: seen.update(rows=rows, y=y) or real(rows, y, s))
+    long = " ".join(f"w{i}x" for i in range(20_000))
+    docs = spark.createDataFrame([(1, "good text"), (2, "bad text"), (3, long), (3, "other")], "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1), (2, 0), (3, 1)], "doc_id int, quality int")
+    Q.learn_quality(docs, labels, settings=Q.Settings(max_features=500))
+    assert sorted(seen["y"].tolist()) == [0, 1, 1] and len(seen["rows"]) == 3
+    assert max(seen["rows"].size) <= 700
