@@ -8,6 +8,7 @@ offset and length: a reader can take any rows of it, in any order, and fetch jus
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.session import checkpoint_root, materialise
@@ -93,7 +94,16 @@ def unframe(records: list[bytes]) -> list[bytes]:
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """File system and path of a qualified URI; Hadoop's ``s3a`` is Arrow's ``s3``."""
+    return fs.FileSystem.from_uri("s3://" + uri[len("s3a://") :] if uri.startswith("s3a://") else uri)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A bare path on Hadoop's default file system, as Spark itself resolves it, never the executor's own disk."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"{default.rstrip('/')}/{folder.lstrip('/')}" if not default.startswith("file:") else f"file://{os.path.abspath(folder)}"
 
 
 INDEX = "shard int, path string, record bigint, position bigint, size bigint, before bigint, n bigint"
@@ -114,10 +124,11 @@ def write_records(
     of its own in ``folder`` (by default the shared folder). A task writes to a new name, and
     only files of tasks that ended well are in the index, so lost executors leave at most files
     that nothing refers to. Null ids come first; equal ids go by a hash of their text, and a
-    null text is empty. An empty table makes no file.
+    null text is empty; identical rows, however many, spread over range partitions. Bare paths
+    are taken on Hadoop's default file system. An empty table makes no file.
     """
     spark = docs.sparkSession
-    home = f"{(folder or checkpoint_root(spark)).rstrip('/')}/records-{uuid.uuid4().hex}"
+    home = f"{_qualified(spark, folder or checkpoint_root(spark)).rstrip('/')}/records-{uuid.uuid4().hex}"
     width = 2 if vocabulary <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +172,10 @@ def write_records(
     ordered = (
         docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("id", "tie")
-        .sortWithinPartitions("id", "tie")
+        # Equal rows are interchangeable: a row number splits a repeated row over range partitions.
+        .withColumn("copy", F.monotonically_increasing_id())
+        .repartitionByRange("id", "tie", "copy")
+        .sortWithinPartitions("id", "tie", "copy")
         .select("id", "text")
     )
     return materialise(ordered.mapInArrow(write, INDEX), "record-index")

@@ -71,3 +71,22 @@ def test_other_white_space_does_not_cut_line_ends_apart():
     texts = ["a\tb\tc\n\n", "10\u00a0km est loin.\n\n\nvoici 20\u00a0km", "name\tvalue\n\n\nx\ty", "a\r\nb  c", " a\tb", "a\u2028b  ", "\n", "a b\nc"]
     library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     assert [x.tolist() for x in BYTES()(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bare_paths_are_qualified_and_repeats_spread(spark, tmp_path):
+    from quantloom.llm.records import _place, _qualified
+
+    assert _qualified(spark, "file:/a/b") == "file:/a/b" and _qualified(spark, "s3a://x/y") == "s3a://x/y"
+    assert _qualified(spark, "/a/b") == "file:///a/b"
+    assert _place("file:///tmp/z")[1] == "/tmp/z"
+    same = spark.createDataFrame([(7, "same text")] * 4000, "doc_id bigint, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny parts would be merged
+    try:
+        index = with_starts(write_records(same, BYTES, 2, 50_257, folder=str(tmp_path)))
+        assert index.select("shard").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = read_records(index).collect()
+    size = len(got[0].ids) // 4
+    assert len(got) == 4000 and {len(r.ids) // 4 for r in got} == {size}
+    assert sorted(r.start for r in got) == [size * i for i in range(4000)]
