@@ -29,14 +29,15 @@ _CACHE = 200_000
 class Settings:
     """``max_positive`` bounds the confirmed toxic rows trained on (labelled rows, about twice
     at most); a row of more than ``max_features`` distinct words keeps a hashed sample of them.
-    The unlabelled side is the whole corpus, read once per step: ``steps`` full-batch steps."""
+    The unlabelled side is the whole corpus, read once per step: ``steps`` full-batch steps,
+    each shuffling at most ``2^bits`` sums per task."""
 
-    bits: int = 18
+    bits: int = 16
     max_positive: int = 6000
     max_features: int = 8192
     min_rows: int = 3  # of the whole corpus that a word must be in
-    steps: int = 80
-    rate: float = 0.4
+    steps: int = 30
+    rate: float = 0.5
     sparsity: float = 1e-4
     beta: float = 0.0
     gamma: float = 1.0
