@@ -136,8 +136,9 @@ def learn_quality(
     # At most twice max_rows ids, so a bounded broadcast.
     chosen = F.broadcast(hashed_sample(known, "id", s.max_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    texts = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = texts.select("y", sparse_column(F.col("text"), Subwords(s.bits, s.grams)).alias("f"))
+    # Features are made where the texts are read, in parallel; only the chosen ones are grouped.
+    found = texts.select("id", "y", F.xxhash64("text").alias("h"), sparse_column(F.col("text"), Subwords(s.bits, s.grams)).alias("f"))
+    found = found.groupBy("id", "y").agg(F.min_by("f", "h").alias("f"))
     pairs = F.arrays_zip(F.col("f.at").alias("at"), F.col("f.weight").alias("weight"))
     sampled = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["at"], F.lit("feature")), F.size(pairs)) < s.max_features)
     bounded = F.when(F.size("f.at") > s.max_features, F.struct(sampled["at"].alias("at"), sampled["weight"].alias("weight"))).otherwise(F.col("f"))
