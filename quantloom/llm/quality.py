@@ -140,7 +140,8 @@ def learn_quality(
     found = texts.select("id", "y", F.xxhash64("text").alias("h"), sparse_column(F.col("text"), Subwords(s.bits, s.grams)).alias("f"))
     found = found.groupBy("id", "y").agg(F.min_by("f", "h").alias("f"))
     pairs = F.arrays_zip(F.col("f.at").alias("at"), F.col("f.weight").alias("weight"))
-    sampled = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["at"], F.lit("feature")), F.size(pairs)) < s.max_features)
+    # The size is of a column: inside the lambda an expression would be made anew for every pair.
+    sampled = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["at"], F.lit("feature")), F.size("f.at")) < s.max_features)
     bounded = F.when(F.size("f.at") > s.max_features, F.struct(sampled["at"].alias("at"), sampled["weight"].alias("weight"))).otherwise(F.col("f"))
     rows, y = collect_rows(found.select("y", bounded.alias("f")), "y")
     return fit_embeddings(rows, y, s)

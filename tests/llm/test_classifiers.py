@@ -139,3 +139,14 @@ def test_quality_labels_by_majority_and_long_rows_kept(spark, monkeypatch):
     Q.learn_quality(docs, labels, settings=Q.Settings(max_features=500))
     assert sorted(seen["y"].tolist()) == [0, 1, 1] and len(seen["rows"]) == 3
     assert max(seen["rows"].size) <= 700
+
+
+def test_sampling_a_long_row_is_linear_in_its_features(spark, monkeypatch):
+    """Nothing that grows with the row is made anew inside the lambda that is run for each of its features."""
+    plans = []
+    real = Q.collect_rows
+    monkeypatch.setattr(Q, "collect_rows", lambda df, extra: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, extra))
+    docs = spark.createDataFrame([(1, "good text"), (2, "bad text")], "doc_id int, text string")
+    Q.learn_quality(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id int, quality int"))
+    inside = plans[0].split("lambdafunction(")[1:]
+    assert inside and not any("arrays_zip" in part.split(", lambda ")[0] for part in inside)
