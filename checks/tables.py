@@ -6,7 +6,9 @@ import io
 import os
 import uuid
 import zipfile
+from urllib.parse import urlparse
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from checks.timeseries import FILLED, lag, std, whole
@@ -55,23 +57,30 @@ def scan_csv(spark, sf_dir):
 
 
 def scan_zip_csv(spark, sf_dir):
-    """Every partition of the ticks becomes one archive; all archives are read back."""
+    """Every partition of the ticks becomes one archive; all archives are read back.
+
+    A partition without rows is a header alone. An archive gets its partition's name when it is
+    whole, so a task that runs twice leaves it once.
+    """
     source = raw_ticks(spark, sf_dir)
     folder = _scratch(spark, "zips")
     names = source.columns
 
     def pack(batches):
-        os.makedirs(folder, exist_ok=True)
-        path, rows = f"{folder}/{uuid.uuid4().hex}.zip", 0
+        import pandas as pd
+
+        here = urlparse(folder).path if folder.startswith("file:") else folder
+        os.makedirs(here, exist_ok=True)
+        path, rows = f"{here}/{uuid.uuid4().hex}.part", 0
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            with archive.open("train.csv", "w") as member:
+            with archive.open("train.csv", "w", force_zip64=True) as member:
                 text = io.TextIOWrapper(member)
+                pd.DataFrame(columns=names).to_csv(text, index=False)
                 for batch in batches:
-                    batch.to_csv(text, index=False, header=rows == 0, columns=names)
+                    batch.to_csv(text, index=False, header=False, columns=names)
                     rows += len(batch)
                 text.flush()
-        import pandas as pd
-
+        os.replace(path, f"{here}/{TaskContext.get().partitionId()}.zip")
         yield pd.DataFrame({"rows": [rows]})
 
     source.mapInPandas(pack, "rows long").agg(F.sum("rows")).collect()

@@ -68,10 +68,17 @@ def _member(archive: zipfile.ZipFile) -> str:
     return "train.csv" if "train.csv" in found else found[0]
 
 
+def _is_empty(archive: zipfile.ZipFile) -> bool:
+    """A CSV without a byte, such as an empty partition writes: no header and no rows, as in Spark's CSV reader."""
+    return archive.getinfo(_member(archive)).file_size == 0
+
+
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for uri in batch["path"]:
             with _open(uri) as raw, zipfile.ZipFile(raw) as archive:
+                if _is_empty(archive):
+                    continue
                 with archive.open(_member(archive)) as member:
                     names = list(pd.read_csv(member, nrows=0).columns)
             yield pd.DataFrame({"path": [uri], "names": [names]})
@@ -92,6 +99,8 @@ def _read_zip(spark: SparkSession, path: str, schema: StructType | None) -> Data
         headers = listed.mapInPandas(_headers, "path string, names array<string>")
         by_order = headers.groupBy(F.array_sort("names").alias("sorted")).agg(F.min(F.struct("path", "names")).alias("first"))
         kinds = by_order.limit(2).collect()
+        if not kinds:
+            raise ValueError("No columns in any archive")
         if len(kinds) != 1:
             raise ValueError(f"Archives of one table have different columns: {[k['sorted'] for k in kinds]}")
         names = kinds[0]["first"]["names"]
@@ -101,6 +110,8 @@ def _read_zip(spark: SparkSession, path: str, schema: StructType | None) -> Data
         for batch in batches:
             for uri in batch["path"]:
                 with _open(uri) as raw, zipfile.ZipFile(raw) as archive:
+                    if _is_empty(archive):
+                        continue
                     with archive.open(_member(archive)) as member:
                         for chunk in pd.read_csv(
                             member, dtype=str, chunksize=CHUNK_ROWS, keep_default_na=False, na_values=[""]

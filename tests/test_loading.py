@@ -1,11 +1,15 @@
 """Reading, validation and cleaning: the loader cases of the survey plus edge rows."""
 
 import zipfile
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from checks.tables import scan_zip_csv
+from checks.views import raw_ticks
 from quantloom import Roles, feature_columns
 from quantloom.operators import cleaning as cl
 from quantloom.plans.loading import load_processed, load_validated
@@ -61,6 +65,36 @@ def test_zip_prefers_train_csv_and_equals_csv(spark, csv_path, zip_path):
     pd.testing.assert_frame_equal(same, a.toPandas().sort_values("ts_id").reset_index(drop=True), check_dtype=False)
 
 
+def test_empty_archive_of_a_zipped_table_has_no_rows(spark, tmp_path):
+    def pack(name, text):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("train.csv", text)
+
+    pack("a.zip", "")
+    with pytest.raises(ValueError, match="No columns"):
+        read_table(spark, f"{tmp_path}/*.zip").count()
+    pack("b.zip", "x,y\n")
+    pack("c.zip", "x,y\n1,a\n2,\n")
+    schema = StructType([StructField("y", StringType()), StructField("x", LongType())])
+    for given in (schema, None):
+        rows = read_table(spark, f"{tmp_path}/*.zip", given).select("x", "y").collect()
+        assert sorted(map(tuple, rows)) == [(1, "a"), (2, None)]
+
+
+def test_zip_query_with_partitions_without_rows(spark, tmp_path):
+    """More splits than row groups: some partitions, and so their archives, hold no rows."""
+    rows = [(i, datetime(2024, 1, 1, 0, 0, i), float(i), '{"k": 7}') for i in range(20)]
+    made = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, props string")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert raw_ticks(spark, str(tmp_path)).rdd.getNumPartitions() > 2
+        assert sorted(r.event_id for r in scan_zip_csv(spark, str(tmp_path)).collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_zip_without_csv(spark, tmp_path):
     path = tmp_path / "empty.zip"
     with zipfile.ZipFile(path, "w") as z:
