@@ -25,9 +25,11 @@ from quantloom.operators.scoring import auc
 from quantloom.operators.splits import stratified_folds, with_stratified_fold
 from quantloom.operators.utility import improvement, utility_columns
 from quantloom.roles import Roles
+from quantloom.session import materialise
 
 WEIGHTS = {"encoder": 0.3, "boosted": 0.7}
 GRID = tuple(i / 20 for i in range(21))
+TASK_SCORES = 400_000  # scores a task counts at once, about 100 MB
 
 
 def normalise_weights(weights: Mapping[str, float]) -> dict[str, float]:
@@ -69,9 +71,13 @@ def blend_weight_scores(
 ) -> DataFrame:
     """Mean fold AUC for every weight of ``first``: ``(weight, mean_auc)``.
 
-    The members are trained once per fold; all weights and folds are scored in one job.
+    The members are trained once per fold; all weights and folds are scored in one job. Rows are
+    dealt over tasks by their number before each becomes one per weight, so the counts of scores
+    that a task holds do not grow with the table.
     """
-    tried = df.select(fold, y, first, second, F.explode(double_array(grid)).alias("weight"))
+    rows = materialise(df.select(fold, y, first, second), "blend")
+    tasks = -(-rows.count() * len(grid) // TASK_SCORES)
+    tried = rows.repartition(max(1, tasks)).select("*", F.explode(double_array(grid)).alias("weight"))
     mixed = F.col("weight") * F.col(first) + (1 - F.col("weight")) * F.col(second)
     scored = auc(tried.withColumn("mixed", mixed), "mixed", y, ["weight", fold])
     return scored.groupBy("weight").agg(F.avg("auc").alias("mean_auc"))

@@ -255,3 +255,16 @@ def test_blend_weights(spark):
     assert np.isclose(bl.blend(df, ["a", "b"], {"a": 1.0, "b": 3.0}).first()["blend"], 0.5)
     with pytest.raises(ValueError, match="Unknown models"):
         bl.blend(df, ["a", "b"], {"a": 1.0})
+
+
+def test_weight_search_deals_rows_over_tasks_before_the_grid(spark, monkeypatch):
+    """A table in one partition is not scored for every weight by one task."""
+    rows = [(i % 3, i % 2, (i * 7 % 101) / 101, (i * 13 % 97) / 97) for i in range(300)] + [(0, 1, None, 0.5), (None, 0, 0.2, 0.3)]
+    df = spark.createDataFrame(rows, "fold int, y int, a double, b double").coalesce(1)
+    whole = sorted(map(tuple, bl.blend_weight_scores(df, "a", "b", "y").collect()))
+    parts, real = [], bl.auc
+    monkeypatch.setattr(bl, "auc", lambda tried, *rest: parts.append(tried.rdd.getNumPartitions()) or real(tried, *rest))
+    monkeypatch.setattr(bl, "TASK_SCORES", 1000, raising=False)
+    again = sorted(map(tuple, bl.blend_weight_scores(df, "a", "b", "y").collect()))
+    assert parts[0] >= 302 * len(bl.GRID) / 1000
+    assert again == pytest.approx(whole)
