@@ -253,7 +253,17 @@ def _pair_sums(values: DataFrame, width: int) -> DataFrame:
     all rows (one aggregate), which makes the sums of a constant feature exactly zero and keeps
     the others small.
     """
-    least = values.select(F.posexplode("v").alias("f", "x")).groupBy("f").agg(F.min("x").alias("m")).collect()
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.full(width, np.nan)
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if len(column):
+                x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                found = np.fmin(found, np.fmin.reduce(x, axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(found)], names=["f", "x"])
+
+    parts = values.mapInArrow(smallest, "f int, x double")
+    least = parts.groupBy("f").agg(F.min("x").alias("m")).collect()
     first = np.zeros(width)
     for row in least:  # one row a feature
         if row["m"] is not None and np.isfinite(row["m"]):
@@ -267,6 +277,12 @@ def _pair_sums(values: DataFrame, width: int) -> DataFrame:
                 column = column.drop_null()
             x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) - first
             there = np.isfinite(x).astype(float)
+            if there.all():  # nothing missing: sums of a feature are the same in all its pairs
+                n += len(x)
+                sx += x.sum(axis=0)[:, None]
+                sxx += (x * x).sum(axis=0)[:, None]
+                sxy += x.T @ x
+                continue
             x = np.where(there > 0, x, 0.0)
             n += there.T @ there
             sx += x.T @ there

@@ -19,6 +19,7 @@ from quantloom.operators.selection import (
     StandardScale,
 )
 from quantloom.roles import Roles
+from quantloom.session import materialise
 
 STEPS = {
     IndicatorFeatures: "technical_indicators",
@@ -95,20 +96,30 @@ def fit_feature_prep(
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Fit stage by stage: the fitted model, the prepared table and the statistics per stage.
 
-    Imputation appears in the statistics only where something was missing.
+    Imputation appears in the statistics only where something was missing. What later fits read
+    several times, and components, which Python computes, are stored.
     """
-    fitted, stats = [], []
+    fitted, stats, noted = [], [], None
 
     def note(table: DataFrame, step: str) -> None:
+        nonlocal noted
+        if table is noted:  # the last noted table once more
+            stats.append((len(stats), step, *stats[-1][2:]))
+            return
         stats.append(tuple(stage_stats(table, step, len(stats)).first()))  # one row
+        noted = table
 
     source = IndicatorFeatures(prefix=r.features, rowCol=r.row_id, derive=False).transform(df)
     note(source, "input")
     current = df
-    for stage in prep.getStages():
+    stages = prep.getStages()
+    for stage, following in zip(stages, [*stages[1:], None]):
         model = stage if isinstance(stage, Transformer) else stage.fit(current)
-        current = model.transform(current)
+        before, current = current, model.transform(current)
         fitted.append(model)
+        reread = isinstance(following, (Decorrelate, PcaReducer)) or isinstance(stage, PcaReducer)
+        if reread and current is not before:
+            current = materialise(current, "prepared")
         skipped = isinstance(stage, ImputeFeatures) and model.getOrDefault("whole")
         packed = isinstance(stage, IndicatorFeatures) and not stage.getOrDefault("derive")
         if not skipped and not packed:

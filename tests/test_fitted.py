@@ -13,6 +13,7 @@ from quantloom.operators.featureset import feature_names, pack_features
 from quantloom.operators.pca import PcaReducer, PcaReducerModel
 from quantloom.operators.splits import purged_folds
 from quantloom.plans.evaluation import compare_models, cross_validate
+from quantloom.plans import feature_prep as FP
 from quantloom.plans.feature_prep import feature_prep, fit_feature_prep, prep_summary, reduction_analysis
 
 R = Roles()
@@ -267,4 +268,33 @@ def test_weight_search_deals_rows_over_tasks_before_the_grid(spark, monkeypatch)
     monkeypatch.setattr(bl, "TASK_SCORES", 1000, raising=False)
     again = sorted(map(tuple, bl.blend_weight_scores(df, "a", "b", "y").collect()))
     assert parts[0] >= 302 * len(bl.GRID) / 1000
-    assert again == pytest.approx(whole)
+    assert [w for w, _ in again] == [w for w, _ in whole]
+    assert [a for _, a in again] == pytest.approx([a for _, a in whole])
+
+
+def test_prepared_components_are_computed_once(spark, monkeypatch):
+    """The prepared table is read back, not projected by Python again for each count and for its reader."""
+    counted, real = [], FP.stage_stats
+    monkeypatch.setattr(FP, "stage_stats", lambda df, step, *rest: counted.append((step, df)) or real(df, step, *rest))
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, rng.normal(size=4))) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, feature_0 double, feature_1 double, feature_2 double, feature_3 double")
+    _, out, stats = fit_feature_prep(df, feature_prep(indicators=False, pca=0.95), Roles(n_features=4))
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in (out, *(t for _, t in counted))]
+    assert not any("ArrowEvalPython" in p for p in plans)
+    assert out.count() == 60 and sum(step == "output" for step, _ in counted) == 0
+    noted = [tuple(r) for r in stats.orderBy("position").collect()]
+    assert noted[-1][1:2] == ("output",) and noted[-1][2:] == noted[-2][2:] and noted[-1][0] == len(noted) - 1
+
+
+def test_correlations_of_full_and_gappy_batches(spark):
+    """Batches without a gap are summed per feature, others per pair; together they are the rows' correlations."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)) @ np.array([[1, 0.9, 0.2], [0, 0.4, 0.1], [0, 0, 1]]) + 50
+    x[60:][rng.random((30, 3)) < 0.3] = np.nan
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, feature_0 double, feature_1 double, feature_2 double")
+    packed = pack_features(df.repartitionByRange(6, "row_id"), Roles(n_features=3))
+    found = {(r.i, r.j): r.correlation for r in se.correlation_pairs(packed, 0.0).collect()}
+    wanted = pd.DataFrame(x).corr().abs()
+    assert found == pytest.approx({(i, j): wanted[i][j] for i in range(3) for j in range(i + 1, 3)})
