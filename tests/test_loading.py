@@ -95,6 +95,14 @@ def test_zip_query_with_partitions_without_rows(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_zip_query_with_missing_values(spark, tmp_path):
+    rows = [(1, None, 1.5, '{"k": 7}'), (123_456_789, datetime(2024, 1, 3), None, None), (None, datetime(2024, 1, 2), 2.0, '{"k": 3}')]
+    made = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, props string")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    wanted = sorted(map(tuple, raw_ticks(spark, str(tmp_path)).collect()), key=str)
+    assert sorted(map(tuple, scan_zip_csv(spark, str(tmp_path)).collect()), key=str) == wanted
+
+
 def test_zip_without_csv(spark, tmp_path):
     path = tmp_path / "empty.zip"
     with zipfile.ZipFile(path, "w") as z:
