@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -25,11 +26,12 @@ from quantloom.operators.scoring import auc
 from quantloom.operators.splits import stratified_folds, with_stratified_fold
 from quantloom.operators.utility import improvement, utility_columns
 from quantloom.roles import Roles
-from quantloom.session import materialise
+from quantloom.session import materialise, shuffle_partitions
 
 WEIGHTS = {"encoder": 0.3, "boosted": 0.7}
 GRID = tuple(i / 20 for i in range(21))
-TASK_SCORES = 400_000  # scores a task counts at once, about 100 MB
+TASK_SCORES = 400_000  # scores a task makes and counts at once, about 50 MB
+PART_SCORES = 1_500_000  # scores in a shuffle partition, on average
 
 
 def normalise_weights(weights: Mapping[str, float]) -> dict[str, float]:
@@ -71,15 +73,21 @@ def blend_weight_scores(
 ) -> DataFrame:
     """Mean fold AUC for every weight of ``first``: ``(weight, mean_auc)``.
 
-    The members are trained once per fold; all weights and folds are scored in one job. Rows are
-    dealt over tasks by their number before each becomes one per weight, so the counts of scores
-    that a task holds do not grow with the table.
+    The members are trained once per fold. Rows are dealt over tasks by their number before each
+    becomes one per weight, so the counts of scores that a task holds do not grow with the table.
+    All weights are scored in one job where their scores fit the session's shuffle partitions,
+    otherwise in several, down to one weight each.
     """
     rows = materialise(df.select(fold, y, first, second), "blend")
-    tasks = -(-rows.count() * len(grid) // TASK_SCORES)
-    tried = rows.repartition(max(1, tasks)).select("*", F.explode(double_array(grid)).alias("weight"))
+    n, room = rows.count(), PART_SCORES * shuffle_partitions(df.sparkSession)
+    size = -(-len(grid) // max(1, min(len(grid), -(-n * len(grid) // room))))
     mixed = F.col("weight") * F.col(first) + (1 - F.col("weight")) * F.col(second)
-    scored = auc(tried.withColumn("mixed", mixed), "mixed", y, ["weight", fold])
+    found = []
+    for some in (grid[at : at + size] for at in range(0, len(grid), size)):
+        dealt = rows.repartition(max(1, -(-n * len(some) // TASK_SCORES)))
+        tried = dealt.select("*", F.explode(double_array(some)).alias("weight"))
+        found.append(auc(tried.withColumn("mixed", mixed), "mixed", y, ["weight", fold]))
+    scored = reduce(DataFrame.union, found)
     return scored.groupBy("weight").agg(F.avg("auc").alias("mean_auc"))
 
 

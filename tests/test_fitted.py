@@ -15,6 +15,7 @@ from quantloom.operators.splits import purged_folds
 from quantloom.plans.evaluation import compare_models, cross_validate
 from quantloom.plans import feature_prep as FP
 from quantloom.plans.feature_prep import feature_prep, fit_feature_prep, prep_summary, reduction_analysis
+from quantloom.session import shuffle_partitions
 
 R = Roles()
 
@@ -268,8 +269,13 @@ def test_weight_search_deals_rows_over_tasks_before_the_grid(spark, monkeypatch)
     monkeypatch.setattr(bl, "TASK_SCORES", 1000, raising=False)
     again = sorted(map(tuple, bl.blend_weight_scores(df, "a", "b", "y").collect()))
     assert parts[0] >= 302 * len(bl.GRID) / 1000
-    assert [w for w, _ in again] == [w for w, _ in whole]
-    assert [a for _, a in again] == pytest.approx([a for _, a in whole])
+    assert len(parts) == 1
+    monkeypatch.setattr(bl, "PART_SCORES", 302 * len(bl.GRID) // (3 * shuffle_partitions(spark)) + 1)
+    passes = sorted(map(tuple, bl.blend_weight_scores(df, "a", "b", "y").collect()))
+    assert len(parts) == 1 + 3
+    for made in (again, passes):
+        assert [w for w, _ in made] == [w for w, _ in whole]
+        assert [a for _, a in made] == pytest.approx([a for _, a in whole])
 
 
 def test_prepared_components_are_computed_once(spark, monkeypatch):
