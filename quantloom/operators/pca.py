@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasOutputCol
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import (
     DefaultParamsReadable,
     DefaultParamsReader,
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import total
+from quantloom.operators.arrays import map_arrays, shared_statistics, stats_of
 from quantloom.operators.featureset import FEATURES, feature_names, named
 from quantloom.operators.selection import all_correlations, at_positions
 
@@ -103,16 +103,14 @@ class PcaReducerModel(Model, HasFeaturesCol, HasOutputCol, MLReadable, MLWritabl
     def _transform(self, dataset: DataFrame) -> DataFrame:
         mean, scale, loadings = self.mean, self.scale, self.loadings
 
-        @F.pandas_udf("array<double>")
-        def project(rows: pd.Series) -> pd.Series:
-            if rows.empty:
-                return rows
-            return pd.Series(list(((np.stack(rows.to_numpy()) - mean) / scale) @ loadings))
+        def project(flat: pa.Array) -> pa.Array:
+            x = flat.to_numpy(zero_copy_only=False).reshape(-1, len(mean))
+            return pa.array((((x - mean) / scale) @ loadings).ravel(), from_pandas=True)  # NaN as null
 
         output = self.getOutputCol()
         others = [c for c in dataset.columns if c != output]
         names = [f"pca_{i}" for i in range(self.k)]
-        return dataset.select(*others, named(project(self._inputs(dataset)), names, output))
+        return dataset.select(*others, named(map_arrays(self._inputs(dataset), project, self.k), names, output))
 
     def inverse(self, df: DataFrame, output: str = "restored") -> DataFrame:
         """Component scores back to the original features and units."""
@@ -190,16 +188,15 @@ class PcaReducer(Estimator, HasFeaturesCol, HasOutputCol, DefaultParamsReadable,
     def _fit(self, dataset: DataFrame) -> PcaReducerModel:
         column = self.getFeaturesCol()
         names = feature_names(dataset, column)
-        vectors = dataset.select(array_to_vector(column).alias("v"))
-        stats = vectors.agg(
-            Summarizer.metrics("mean", "std", "count", "min", "max").summary(F.col("v")).alias("s")
-        ).first()["s"]
-        n = stats["count"]
-        if n < 2:
-            raise ValueError("At least two rows are needed to fit components")
-        mean, deviation = stats["mean"].toArray(), stats["std"].toArray()  # divisor n - 1
-        flat = stats["min"].toArray() == stats["max"].toArray()
-        matrix = all_correlations(dataset, column)
+        with shared_statistics():
+            stats = stats_of(dataset, column, len(names))
+            n = stats.rows
+            if n < 2:
+                raise ValueError("At least two rows are needed to fit components")
+            if stats.missing.any():
+                raise ValueError("Components cannot be fitted to missing values")
+            mean, deviation, flat = stats.mean, np.sqrt(stats.variance()), stats.flat  # divisor n - 1
+            matrix = all_correlations(dataset, column)
         matrix[flat, :] = 0.0
         matrix[:, flat] = 0.0
         if self.getOrDefault("scaled"):

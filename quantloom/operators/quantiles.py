@@ -8,11 +8,16 @@ the cells are counted exactly, and only the cell that holds the wanted rank goes
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import elements
+from quantloom.operators.arrays import BLOCK, blocks_of, stats_of
 from quantloom.session import materialise
 
 GROUP_ROWS = 1_000_000
@@ -21,6 +26,7 @@ BROADCAST_TARGETS = 50_000
 ACCURACY = 10_000  # of the sketch: ranks within n / ACCURACY; raised for large groups
 BRACKET_ROWS = 250_000  # values a bracket should hold at most, about
 MARGIN = 3  # sketch errors a bracket reaches on each side of its quantile
+REACH = 4  # deviations of the rank of an array's sketch that a bracket reaches on each side
 
 
 def exact_quantiles(
@@ -91,6 +97,132 @@ def exact_quantiles(
     return _interpolate(_refine(materialise(current, "distinct"), materialise(found, "targets"), by, group_rows, small), by)
 
 
+def array_quantiles(
+    df: DataFrame,
+    column: str,
+    width: int,
+    qs: Sequence[float],
+    group_rows: int = GROUP_ROWS,
+    step: int | None = None,
+    reach: float = REACH,
+) -> DataFrame:
+    """Linearly interpolated quantiles of every element position: ``(f, q, value)``; nulls are left out.
+
+    As ``exact_quantiles`` by position, without a row per element. Every block of rows is sorted
+    by position and leaves each ``step``-th value, which place each wanted rank between two
+    values; a second pass counts what lies below them and sends on only the values between, as
+    (value, count), which are ranked exactly. A rank its bracket missed takes its whole position
+    again, so results are exact whatever the bracket is. Brackets grow with the 3/4th power of the rows.
+    """
+    qs = [float(q) for q in qs]
+    rows = stats_of(df, column, width).rows
+    if step is None:
+        blocks = max(1.0, rows / max(1, BLOCK // max(1, width)))
+        step = max(1, int(rows / max(4000.0, math.sqrt(2.3 * rows * math.sqrt(blocks)))))
+    read = blocks_of(width)
+
+    def lists(parts: list[np.ndarray], sizes: np.ndarray) -> list[pa.Array]:
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, pa.array(p)) for p in parts]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks are alike: begun at one place, their errors would add up instead of cancelling out.
+        phase = np.random.default_rng(TaskContext.get().partitionId())
+        for x, gone in read(batches):
+            ordered = np.sort(x.T, axis=1)  # nulls last, after any NaN
+            known = np.full(width, len(x)) if gone is None else len(x) - gone.sum(axis=0)
+            starts = np.arange(-phase.integers(step), len(x), step)
+            begin = np.maximum(starts, 0)
+            weight = np.maximum(np.minimum(starts + step, known[:, None]) - begin, 0)
+            value = np.take_along_axis(ordered, np.minimum(begin + weight // 2, len(x) - 1), axis=1)
+            held = weight > 0
+            made = lists([value[held], weight[held].astype(np.int64)], held.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), *made], names=["f", "value", "weight"])
+
+    def bracket(table: pa.Table) -> pa.Table:
+        parts = [table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("value", "weight")]
+        order = np.argsort(parts[0], kind="stable")
+        value, weight = parts[0][order], parts[1][order]
+        place = np.cumsum(weight) - weight / 2
+        n, blocks = int(weight.sum()), len(table)
+        off = step * (1 + min(blocks / 2, reach * math.sqrt(blocks / 12))) if reach else 0
+        low, high = [], []
+        for q in qs if n else ():
+            at = (n - 1) * q
+            i = int(np.searchsorted(place, math.floor(at) - off, "right")) - 1
+            j = int(np.searchsorted(place, math.ceil(at) + 1 + off, "left"))
+            # No bound where the bracket reaches past the ends; NaN is above all.
+            low.append(None if i < 0 else float(value[i]))
+            high.append(None if j >= len(value) or np.isnan(value[j]) else float(value[j]))
+        size = len(low)
+        f = [table["f"][0].as_py()] * size
+        return pa.table(
+            {"f": pa.array(f, pa.int32()), "q": pa.array(qs[:size], pa.float64()), "n": pa.array([n] * size, pa.int64()),
+             "lo": pa.array(low, pa.float64()), "hi": pa.array(high, pa.float64())}
+        )
+
+    points = df.select(column).mapInArrow(sketch, "f int, value array<double>, weight array<long>")
+    schema = "f int, q double, n long, lo double, hi double"
+    found = points.groupBy("f").applyInArrow(bracket, schema).collect()  # one row per position and quantile
+    if not found:
+        return df.sparkSession.createDataFrame([], "f int, q double, value double")
+    targets = [(r["f"], r["q"], r["n"], r["lo"], r["hi"]) for r in found]
+    bounds = []  # per quantile: lower and upper bound, whether open above, number of the target
+    for q in dict.fromkeys(qs):
+        lo, hi, above, at = np.full(width, np.inf), np.full(width, -np.inf), np.zeros(width, dtype=bool), np.full(width, -1)
+        for t, (f, q_, _, low, high) in enumerate(targets):
+            if q_ == q:
+                lo[f] = -np.inf if low is None else np.inf if np.isnan(low) else low
+                hi[f], above[f], at[f] = (np.inf if high is None else high), high is None, t
+        bounds.append((lo, hi, above, at))
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, gone in read(batches):
+            for lo, hi, above, at in bounds:
+                below = x < lo
+                held = ~below & ((x <= hi) | above) & (at >= 0)
+                if gone is not None:
+                    held &= ~gone
+                count = held.sum(axis=0)
+                position = np.repeat(np.arange(width), count)
+                value = x.T[held.T] + 0.0
+                order = np.lexsort((value, position))
+                value = value[order]
+                new = np.ones(len(value), dtype=bool)
+                new[1:] = (position[1:] != position[:-1]) | (value[1:] != value[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(value)))
+                seen = np.flatnonzero(at >= 0)
+                made = lists([value[first], times], np.bincount(position[first], minlength=width)[seen])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[seen]), pa.array(below.sum(axis=0)[seen]), pa.array(count[seen]), *made],
+                    names=["t", "below", "held", "value", "c"],
+                )
+
+    schema = "t long, below long, held long, value array<double>, c array<long>"
+    stored = materialise(df.select(column).mapInArrow(between, schema), "brackets")
+    sums = stored.groupBy("t").agg(F.sum("below").alias("below"), F.sum("held").alias("held")).collect()
+    sums = {r["t"]: (r["below"], r["held"]) for r in sums}
+    placed, missed = [], set()
+    for t, (f, q, n, _, _) in enumerate(targets):
+        below, held = sums.get(t, (0, 0))
+        for rank in {math.floor((n - 1) * q), math.ceil((n - 1) * q)}:
+            hit = 0 <= rank - below < held
+            placed.append((f, q, n, rank, f"{t}" if hit else f"{f}#all", below if hit else 0))
+            if not hit:
+                missed.add(f)
+    pairs = F.explode(F.arrays_zip("value", "c")).alias("p")
+    current = stored.select(F.col("t").cast("string").alias("cell"), pairs).groupBy("cell", F.col("p.value").alias("value"))
+    current = current.agg(F.sum("p.c").alias("c"))
+    if missed:
+        again = df.select(elements(column)).where(F.col("f").isin(sorted(missed)) & F.col("x").isNotNull())
+        cell = F.concat(F.col("f").cast("string"), F.lit("#all")).alias("cell")
+        current = current.unionByName(again.groupBy(cell, F.col("x").alias("value")).agg(F.count("*").alias("c")))
+    wanted = df.sparkSession.createDataFrame(placed, "f int, q double, n long, rank long, cell string, skip long")
+    small = F.broadcast if len(placed) <= BROADCAST_TARGETS else lambda table: table
+    return _interpolate(_refine(materialise(current, "distinct"), wanted, ["f"], group_rows, small), ["f"])
+
+
 def _refine(current: DataFrame, targets: DataFrame, by, group_rows, small) -> DataFrame:
     """Values at the ranks of ``targets`` ``(*by, q, n, rank, cell, skip)`` among ``current``
     ``(cell, value, c)``: cells above ``group_rows`` distinct values are cut by approximate

@@ -17,15 +17,24 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol
-from pyspark.ml.stat import Correlation
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import double_array, elements
+from quantloom.operators.arrays import (
+    blocks_of,
+    feature_stats,
+    fill_elements,
+    pick_elements,
+    share_stats,
+    shared_statistics,
+    shared_stats,
+    stats_of,
+)
 from quantloom.operators.featureset import FEATURES, all_features, feature_names, named, pack_features
 from quantloom.operators.indicators import ALL_INDICATORS, LOOKBACKS, QUANTILE_WINDOWS, IndicatorSet
-from quantloom.operators.quantiles import exact_quantiles
+from quantloom.operators.quantiles import array_quantiles, exact_quantiles
 from quantloom.roles import Roles
 from quantloom.session import materialise
 
@@ -58,8 +67,7 @@ def at_positions(column: str, positions: list[int], width: int) -> Column:
 
 
 def missing_total(df: DataFrame, column: str = FEATURES) -> int:
-    missing = F.size(F.filter(column, lambda x: x.isNull()))
-    return df.agg(F.sum(missing)).first()[0] or 0
+    return int(stats_of(df, column, len(feature_names(df, column))).missing.sum())
 
 
 class _Stage(HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -135,9 +143,13 @@ class ImputeModel(Model, _Stage):
         if absent:
             raise ValueError(f"Missing features: {absent}")
         at = {n: i for i, n in enumerate(names)}
-        values = F.col(column) if kept == names else at_positions(column, [at[n] for n in kept], len(names))
-        fills = double_array(self.getOrDefault("fills"))
-        return self._named(dataset, F.zip_with(values, fills, lambda x, m: F.coalesce(x, m)), kept)
+        positions, fills = [at[n] for n in kept], self.getOrDefault("fills")
+        values = F.col(column) if kept == names else pick_elements(column, positions, len(names))
+        filled = self._named(dataset, fill_elements(values, fills), kept)
+        known = shared_stats(dataset, column)
+        if known is not None:
+            share_stats(filled, column, known.picked(positions).filled(fills))
+        return filled
 
 
 class ImputeFeatures(Estimator, _Stage):
@@ -157,9 +169,10 @@ class ImputeFeatures(Estimator, _Stage):
         if strategy not in STRATEGIES:
             raise ValueError(f"Unknown imputation strategy: {strategy}")
         model = ImputeModel()._set(featuresCol=column)
-        if missing_total(dataset, column) == 0:
-            return model._set(kept=[], fills=[], whole=True)
-        found = fill_values(dataset, strategy, column, self.getOrDefault("fillValue"))
+        with shared_statistics():
+            if missing_total(dataset, column) == 0:
+                return model._set(kept=[], fills=[], whole=True)
+            found = fill_values(dataset, strategy, column, self.getOrDefault("fillValue"))
         fills = {row["f"]: row["fill"] for row in found.collect()}  # one row per feature
         names = feature_names(dataset, column)
         kept = [i for i in range(len(names)) if fills.get(i) is not None]
@@ -168,12 +181,13 @@ class ImputeFeatures(Estimator, _Stage):
 
 def fill_values(df: DataFrame, strategy: str, column: str = FEATURES, constant: float = 0.0) -> DataFrame:
     """``(f, fill)`` per feature with at least one value (every feature for a constant)."""
+    if strategy == "median":
+        found = array_quantiles(df, column, len(feature_names(df, column)), [0.5])
+        return found.select("f", F.col("value").alias("fill"))
     values = cells(df, column)
     if strategy == "constant":
         return values.select("f").distinct().select("f", F.lit(float(constant)).alias("fill"))
     known = values.where("x is not null")
-    if strategy == "median":
-        return exact_quantiles(known, "x", [0.5], ["f"]).select("f", F.col("value").alias("fill"))
     if strategy == "mean":
         return known.groupBy("f").agg(F.avg("x").alias("fill"))
     # Counting first makes a value held by most rows one row; ties go to the smallest value.
@@ -199,12 +213,18 @@ class DropFeatures(Model, _Stage):
         kept = [i for i, n in enumerate(names) if n not in gone]
         if len(kept) == len(names):
             return dataset
-        return self._named(dataset, at_positions(column, kept, len(names)), [names[i] for i in kept])
+        left = self._named(dataset, pick_elements(column, kept, len(names)), [names[i] for i in kept])
+        known = shared_stats(dataset, column)
+        if known is not None:
+            share_stats(left, column, known.picked(kept))
+        return left
 
 
 def feature_variances(df: DataFrame, column: str = FEATURES) -> DataFrame:
     """Sample variance per feature: ``(f, variance)``."""
-    return cells(df, column).groupBy("f").agg(F.var_samp("x").alias("variance"))
+    stats = feature_stats(df, column, len(feature_names(df, column)))
+    spread = F.when(F.col("low") == F.col("high"), F.when(F.col("m2").isNotNull(), F.lit(0.0))).otherwise(F.col("m2"))
+    return stats.select("f", F.when(F.col("n") > 1, spread / (F.col("n") - 1)).alias("variance"))
 
 
 class LowVariance(Estimator, _Stage):
@@ -220,20 +240,44 @@ class LowVariance(Estimator, _Stage):
 
     def _fit(self, dataset: DataFrame) -> DropFeatures:
         column = self.getFeaturesCol()
-        low = feature_variances(dataset, column).where(
-            F.col("variance") <= self.getOrDefault("threshold")
-        )
         names = feature_names(dataset, column)
-        dropped = sorted(row["f"] for row in low.collect())  # at most one row per feature
+        variance = stats_of(dataset, column, len(names)).variance()
+        dropped = np.flatnonzero(variance <= self.getOrDefault("threshold"))
         return DropFeatures()._set(featuresCol=column, dropped=[names[i] for i in dropped])
 
 
 def correlation_matrix(df: DataFrame, positions: list[int], column: str = FEATURES) -> np.ndarray:
-    """Pearson correlations of the chosen features, one tree-aggregated pass."""
-    width = len(feature_names(df, column))
+    """Pearson correlations of the chosen features: their means, then one pass over their products.
+
+    A task adds up one matrix and hands on one row per pair. Constant features give NaN.
+    """
+    width, count = len(feature_names(df, column)), len(positions)
     whole = positions == list(range(width))
     values = F.col(column) if whole else at_positions(column, positions, width)
-    return Correlation.corr(df.select(array_to_vector(values).alias("v")), "v").first()[0].toArray()
+    mean = stats_of(df, column, width).mean[positions]
+    read = blocks_of(count)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((count, count))
+        for x, _ in read(batches):
+            x = x - mean
+            sums += x.T @ x
+        i, j = np.triu_indices(count)
+        parts = [i.astype(np.int32), j.astype(np.int32), sums[i, j]]
+        for at in range(0, len(i), _PAIR_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(p[at : at + _PAIR_ROWS]) for p in parts], names=["a", "b", "s"])
+
+    tasks = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    products = df.select(values.alias("v")).coalesce(tasks).mapInArrow(multiply, "a int, b int, s double")
+    found = products.groupBy("a", "b").agg(F.sum("s").alias("s")).toArrow()  # at most WIDTH^2 / 2 rows
+    a, b, s = (found[c].to_numpy() for c in ("a", "b", "s"))
+    matrix = np.zeros((count, count))
+    matrix[a, b] = matrix[b, a] = s
+    spread = np.sqrt(np.diag(matrix))
+    with np.errstate(all="ignore"):
+        matrix /= np.outer(spread, spread)
+    matrix[np.diag_indices(count)] = 1.0
+    return matrix
 
 
 def all_correlations(df: DataFrame, column: str = FEATURES, width: int = WIDTH) -> np.ndarray:
@@ -245,45 +289,30 @@ def all_correlations(df: DataFrame, column: str = FEATURES, width: int = WIDTH)
     return whole
 
 
-def _pair_sums(values: DataFrame, width: int) -> DataFrame:
+def _pair_sums(values: DataFrame, least: np.ndarray) -> DataFrame:
     """Sums over the rows in which both features of a pair have a value: ``a, b, n, sx, sy, sxx, syy, sxy``.
 
     One scan. A task adds up matrices of ``width`` by ``width`` and hands on one row per pair, so
-    there are no more tasks than cores. Values are taken from their feature's least value over
-    all rows (one aggregate), which makes the sums of a constant feature exactly zero and keeps
-    the others small.
+    there are no more tasks than cores. Values are taken from ``least``, their feature's least
+    value over all rows, which makes the sums of a constant feature exactly zero and keeps the
+    others small.
     """
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.full(width, np.nan)
-        for batch in batches:
-            column = batch.column(0).drop_null()
-            if len(column):
-                x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-                found = np.fmin(found, np.fmin.reduce(x, axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(found)], names=["f", "x"])
-
-    parts = values.mapInArrow(smallest, "f int, x double")
-    least = parts.groupBy("f").agg(F.min("x").alias("m")).collect()
-    first = np.zeros(width)
-    for row in least:  # one row a feature
-        if row["m"] is not None and np.isfinite(row["m"]):
-            first[row["f"]] = row["m"]
+    width = len(least)
+    first = np.where(np.isfinite(least), least, 0.0)
+    read = blocks_of(width)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sx, sxx, sxy = (np.zeros((width, width)) for _ in range(4))
-        for batch in batches:
-            column = batch.column(0)
-            if column.null_count:
-                column = column.drop_null()
-            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) - first
-            there = np.isfinite(x).astype(float)
+        for x, _ in read(batches):
+            x = x - first
+            there = np.isfinite(x)
             if there.all():  # nothing missing: sums of a feature are the same in all its pairs
                 n += len(x)
                 sx += x.sum(axis=0)[:, None]
                 sxx += (x * x).sum(axis=0)[:, None]
                 sxy += x.T @ x
                 continue
-            x = np.where(there > 0, x, 0.0)
+            x, there = np.where(there, x, 0.0), there.astype(float)
             n += there.T @ there
             sx += x.T @ there
             sxx += (x * x).T @ there
@@ -315,12 +344,13 @@ def correlation_pairs(
     begin; correlations are at most 1. The pairs stay in Spark.
     """
     names = feature_names(df, column)
+    least = stats_of(df, column, len(names)).low
     every = F.split(F.lit("\n".join(names)), "\n")
     found = []
     for block in _column_blocks(len(names), width):
         whole = block == list(range(len(names)))
         values = F.col(column) if whole else at_positions(column, block, len(names))
-        sums = _pair_sums(df.select(values.alias("v")), len(block))
+        sums = _pair_sums(df.select(values.alias("v")), least[block])
         at = F.array(*[F.lit(i) for i in block]) if not whole else None
         i, j = (F.col("a"), F.col("b")) if whole else (F.get(at, F.col("a")), F.get(at, F.col("b")))
         # A spread below rounding of its own sums is none: the feature is constant over the
@@ -358,8 +388,9 @@ class Decorrelate(Estimator, _Stage):
 
     def _fit(self, dataset: DataFrame) -> DropFeatures:
         column = self.getFeaturesCol()
-        pairs = correlation_pairs(dataset, self.getOrDefault("threshold"), column)
-        variance = {r["f"]: r["variance"] for r in feature_variances(dataset, column).collect()}
+        with shared_statistics():
+            pairs = correlation_pairs(dataset, self.getOrDefault("threshold"), column)
+            variance = stats_of(dataset, column, len(feature_names(dataset, column))).variance()
         dropped: set[int] = set()
         # The choice depends on the pairs before it; only the qualifying pairs get here.
         for pair in pairs.orderBy("i", "j").collect():

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import ratio
+from quantloom.operators.arrays import shared_statistics, shared_stats, stats_of
 from quantloom.operators.featureset import FEATURES, feature_names
 from quantloom.operators.pca import PcaReducer
 from quantloom.operators.selection import (
@@ -29,6 +30,7 @@ STEPS = {
     PcaReducer: "pca_reduction",
     StandardScale: "final_scaling",
 }
+FROM_STATS = (ImputeFeatures, LowVariance, Decorrelate, PcaReducer)  # fitted from a table's statistics
 STATS_SCHEMA = (
     "position int, step string, n_features int, n_samples long, missing_values long, "
     "missing_percentage double, memory_usage_mb double"
@@ -74,11 +76,17 @@ def feature_prep(
 def stage_stats(df: DataFrame, step: str, position: int, column: str = FEATURES) -> DataFrame:
     """One row about a stage's output: features, rows, missing values, size of the values."""
     width = len(feature_names(df, column))
-    missing = F.size(F.filter(column, lambda x: x.isNull()))
-    return df.agg(
-        F.count("*").alias("n_samples"),
-        F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias("missing_values"),
-    ).select(
+    known = shared_stats(df, column)
+    if known is not None and width:
+        counts = [(known.rows, int(known.missing.sum()))]
+        counted = df.sparkSession.createDataFrame(counts, "n_samples long, missing_values long")
+    else:
+        missing = F.size(F.filter(column, lambda x: x.isNull()))
+        counted = df.agg(
+            F.count("*").alias("n_samples"),
+            F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias("missing_values"),
+        )
+    return counted.select(
         F.lit(position).alias("position"),
         F.lit(step).alias("step"),
         F.lit(width).alias("n_features"),
@@ -96,8 +104,10 @@ def fit_feature_prep(
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Fit stage by stage: the fitted model, the prepared table and the statistics per stage.
 
-    Imputation appears in the statistics only where something was missing. What later fits read
-    several times, and components, which Python computes, are stored.
+    Imputation appears in the statistics only where something was missing. A table's statistics
+    are computed once for all that ask for them, and follow from those of the table before where
+    a stage fills or drops features; these stages are applied anew by each reader, which costs
+    less than storing their output. Components are stored.
     """
     fitted, stats, noted = [], [], None
 
@@ -113,18 +123,20 @@ def fit_feature_prep(
     note(source, "input")
     current = df
     stages = prep.getStages()
-    for stage, following in zip(stages, [*stages[1:], None]):
-        model = stage if isinstance(stage, Transformer) else stage.fit(current)
-        before, current = current, model.transform(current)
-        fitted.append(model)
-        reread = isinstance(following, (Decorrelate, PcaReducer)) or isinstance(stage, PcaReducer)
-        if reread and current is not before:
-            current = materialise(current, "prepared")
-        skipped = isinstance(stage, ImputeFeatures) and model.getOrDefault("whole")
-        packed = isinstance(stage, IndicatorFeatures) and not stage.getOrDefault("derive")
-        if not skipped and not packed:
-            note(current, STEPS[type(stage)])
-    note(current, "output")
+    with shared_statistics():
+        for stage, following in zip(stages, [*stages[1:], None]):
+            model = stage if isinstance(stage, Transformer) else stage.fit(current)
+            before, current = current, model.transform(current)
+            fitted.append(model)
+            if isinstance(stage, PcaReducer) and current is not before:
+                current = materialise(current, "prepared")
+            elif isinstance(following, FROM_STATS):
+                stats_of(current, FEATURES, len(feature_names(current)))
+            skipped = isinstance(stage, ImputeFeatures) and model.getOrDefault("whole")
+            packed = isinstance(stage, IndicatorFeatures) and not stage.getOrDefault("derive")
+            if not skipped and not packed:
+                note(current, STEPS[type(stage)])
+        note(current, "output")
     return PipelineModel(fitted), current, df.sparkSession.createDataFrame(stats, STATS_SCHEMA)
 
 

@@ -6,6 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from quantloom import Roles
+from quantloom.operators import arrays
 from quantloom.operators import blending as bl
 from quantloom.operators import models as md
 from quantloom.operators import selection as se
@@ -304,3 +305,49 @@ def test_correlations_of_full_and_gappy_batches(spark):
     found = {(r.i, r.j): r.correlation for r in se.correlation_pairs(packed, 0.0).collect()}
     wanted = pd.DataFrame(x).corr().abs()
     assert found == pytest.approx({(i, j): wanted[i][j] for i in range(3) for j in range(i + 1, 3)})
+
+
+def test_preparation_makes_no_row_per_element(spark, monkeypatch):
+    """Medians, variances and correlations come from whole arrays, each table's statistics from one pass."""
+    passes, real = [], se.feature_stats
+    monkeypatch.setattr(arrays, "feature_stats", lambda *a: passes.append(1) or real(*a))
+    monkeypatch.setattr(se, "cells", lambda *a: pytest.fail("a row per element"))
+    monkeypatch.setattr(se, "exact_quantiles", lambda *a: pytest.fail("a row per element"))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5)) * [1, 2, 0.01, 3, 1]
+    x[:, 3] = 2 * x[:, 0] + 0.01 * x[:, 3]
+    gaps = x.copy()
+    gaps[::7, 1] = np.nan
+    pdf = pd.DataFrame(gaps, columns=[f"feature_{i}" for i in range(5)]).assign(row_id=range(120))
+    model, out, stats = fit_feature_prep(spark.createDataFrame(pdf), feature_prep(indicators=False, pca=0.999), R)
+    assert model.stages[1].getOrDefault("fills")[1] == pytest.approx(np.nanmedian(gaps[:, 1]))
+    assert model.stages[2].getOrDefault("dropped") == ["feature_2"]
+    assert model.stages[3].getOrDefault("dropped") == ["feature_0"]
+    filled = np.where(np.isnan(gaps), np.nanmedian(gaps, axis=0), gaps)[:, [1, 3, 4]]
+    z = (filled - filled.mean(axis=0)) / filled.std(axis=0)
+    np.testing.assert_allclose(array_of(out).var(axis=0, ddof=1), np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1], atol=1e-9)
+    assert [(r["n_samples"], r["missing_values"]) for r in stats.orderBy("position").collect()] == [(120, 18)] + [(120, 0)] * 5
+    assert len(passes) == 1
+
+
+def test_statistics_of_filled_and_picked_features(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 4)) + 1e6
+    x[rng.random((80, 4)) < 0.3] = np.nan
+    x[:, 2], x[:, 3] = 0.1, np.nan
+    df = table(spark, x).repartition(5)
+    before, fills = arrays.stats_of(df, "features", 4), [1.0, 2e6, 5.0, 4.0]
+    after = np.where(np.isnan(x), fills, x)[:, [3, 1, 0, 2]]
+    made = df.select(arrays.pick_elements(arrays.fill_elements("features", fills), [3, 1, 0, 2], 4).alias("features"))
+    again = arrays.stats_of(made, "features", 4)
+    for found in (before.filled(fills).picked([3, 1, 0, 2]), again):
+        assert found.rows == 80 and not found.missing.any()
+        np.testing.assert_allclose(found.mean, after.mean(axis=0), rtol=1e-12)
+        np.testing.assert_allclose(found.variance(), after.var(axis=0, ddof=1), rtol=1e-9, atol=1e-18)
+        assert (found.low == after.min(axis=0)).all() and (found.high == after.max(axis=0)).all()
+    assert before.variance()[2] == 0.0 and np.isnan(before.variance()[3]) and before.missing[3] == 80
+
+
+def test_components_need_whole_rows(spark):
+    with pytest.raises(ValueError, match="missing values"):
+        PcaReducer(k=1).fit(table(spark, [[1.0, np.nan], [2.0, 3.0], [0.0, 1.0]]))

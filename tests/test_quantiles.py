@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from quantloom.operators import quantiles
-from quantloom.operators.quantiles import exact_quantiles
+from quantloom.operators.quantiles import array_quantiles, exact_quantiles
 
 QS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -73,3 +73,37 @@ def test_group_without_values(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
     got = exact_quantiles(df, "v", [0.5], ["g"]).collect()
     assert [(r["g"], r["value"]) for r in got] == [("b", 1.0)]
+
+
+@pytest.mark.parametrize("step,reach", [(None, 4), (1, 4), (70, 4), (300, 0)])
+def test_quantiles_of_arrays(spark, monkeypatch, step, reach):
+    """By position, with gaps, ties, NaN above all, and positions with one or no value."""
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(size=2000), rng.integers(0, 3, 2000), np.full(2000, 7.0), rng.exponential(size=2000)])
+    x = np.column_stack([x, np.full((2000, 2), np.nan)])
+    x[rng.random(2000) < 0.4, 3] = np.nan
+    x[5, 4] = -2.5
+    rows = [([None if np.isnan(v) else float(v) for v in r],) for r in x]
+    rows = [([float("nan") if i < 50 and j == 0 else v for j, v in enumerate(r[0])],) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(3)
+    got = {(r["f"], r["q"]): r["value"] for r in array_quantiles(df, "v", 6, [0.0, 0.25, 0.5, 0.9], step=step, reach=reach).collect()}
+    x[:50, 0] = np.inf  # in place of NaN: no wanted rank lies among them
+    assert {f for f, _ in got} == {0, 1, 2, 3, 4}
+    for (f, q), value in got.items():
+        assert np.isclose(value, np.quantile(x[~np.isnan(x[:, f]), f], q), atol=1e-12), (f, q)
+
+
+def test_only_bracket_values_of_arrays_are_ranked(spark, monkeypatch):
+    stored, real = {}, quantiles.materialise
+
+    def spy(df, label="table"):
+        made = real(df, label)
+        stored[label] = made
+        return made
+
+    monkeypatch.setattr(quantiles, "materialise", spy)
+    x = np.random.default_rng(1).normal(size=(100_000, 2))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    got = {r["f"]: r["value"] for r in array_quantiles(df, "v", 2, [0.5]).collect()}
+    assert got == pytest.approx(dict(enumerate(np.median(x, axis=0))))
+    assert stored["distinct"].agg({"c": "sum"}).first()[0] < 0.01 * x.size
