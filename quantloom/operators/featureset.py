@@ -7,13 +7,15 @@ the column's metadata, which selections and Parquet files preserve.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import elements, finite
 from quantloom.operators.crosssection import CROSS_SECTION, add_cross_section, interaction_columns
-from quantloom.operators.indicators import ALL_INDICATORS, IndicatorSet, indicator_rows
+from quantloom.operators.indicators import ALL_INDICATORS, IndicatorSet, indicator_arrays
+from quantloom.operators.ordering import dense_rows, with_row_id
 from quantloom.roles import Roles, feature_columns
 
 FEATURES = "features"
@@ -61,40 +63,29 @@ def all_features(
 ) -> DataFrame:
     """Original features and every derived family per row.
 
-    Adds one shuffle of the wide rows (see ``indicators``); regrouping the feature rows
-    reuses its partitioning.
+    Adds one shuffle of the wide rows (see ``indicators``). If ``row_id`` has holes or repeats,
+    rows are numbered anew inside and come out with the ``row_id`` they had.
     """
+    count = dense_rows(df, r.row_id)
+    if count is None:
+        placed = with_row_id(df, [r.row_id], "_place")
+        inner = replace(r, row_id="_place")
+        return all_features(placed, inner, wanted, [r.row_id, *keep], first, limit, block_rows).drop("_place")
     names = feature_columns(df, r.features)
     families = wanted.outputs()
-    rows = indicator_rows(df, r, wanted, keep, block_rows)
-    cells = rows.groupBy("block", r.row_id, *keep).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "f",
-                    "x",
-                    *[
-                        F.array(*[finite(F.col(o).cast("double")) for o in outputs]).alias(f"_{family}")
-                        for family, outputs in families.items()
-                        if outputs
-                    ],
-                )
-            )
-        ).alias("cells")
-    )
-    cells = cells.withColumn("xs", F.transform("cells", lambda c: c["x"]))
+    early = ("lag", "rolling", "momentum", "volatility")
+    cells = indicator_arrays(df, r, wanted, keep, [early, ["quantile"]], block_rows, count)
     row = add_cross_section(cells, "xs")
     made = interaction_columns(names, lambda n: F.col("xs")[names.index(n)], first, limit)
 
     parts, labels = [F.col("xs")], list(names)
-    for family in ("lag", "rolling", "momentum", "volatility"):
-        if families[family]:
-            parts.append(F.flatten(F.transform("cells", lambda c: c[f"_{family}"])))
-            labels += [f"{n}_{o}" for n in names for o in families[family]]
+    parts.append(F.col("group_0"))
+    for family in early:
+        labels += [f"{n}_{o}" for n in names for o in families[family]]
     parts.append(F.array(*[finite(F.col(c).cast("double")) for c in CROSS_SECTION]))
     labels += CROSS_SECTION
     if families["quantile"]:
-        parts.append(F.flatten(F.transform("cells", lambda c: c["_quantile"])))
+        parts.append(F.col("group_1"))
         labels += [f"{n}_{o}" for n in names for o in families["quantile"]]
     if made:
         parts.append(F.array(*[finite(c) for c in made.values()]))

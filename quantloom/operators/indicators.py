@@ -3,16 +3,20 @@
 All families share one physical plan: wide rows are shuffled once by block, features are
 turned into rows inside the block (``posexplode`` keeps the partitioning), and every frame
 is computed by windows over ``(block, feature)``. Each base statistic is computed once and
-the dependent ones are projections of it.
+the dependent ones are projections of it. ``indicator_arrays`` computes the same from the same
+blocks by numpy, without a row per feature.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quantloom.functions import elements, finite, full_window, ratio
 from quantloom.operators.ordering import block_rows_for, carried_values, dense_rows, with_halo, with_row_id
@@ -90,10 +94,10 @@ ALL_INDICATORS = IndicatorSet(
 )
 
 
-def feature_rows(
+def feature_blocks(
     df: DataFrame, r: Roles, wanted: IndicatorSet, keep: Sequence[str], block_rows: int | None, rows: int
-) -> DataFrame:
-    """One row per (block, row, feature): ``block, row_id, own, at, *keep, f, x``.
+) -> tuple[DataFrame, Column]:
+    """Wide rows in partitions of whole blocks, ``block, row_id, own, *keep, xs``, and their place in the block.
 
     ``row_id`` must count the ``rows`` rows without holes.
     """
@@ -119,9 +123,215 @@ def feature_rows(
         blocks = blocks.unionByName(carried, allowMissingColumns=True)
     # Position from the block's start: a slope is shift-invariant, its precision is not.
     at = (F.col(r.row_id) - F.col("block") * block_rows).cast("double").alias("at")
-    return blocks.repartition(parts, "block").select(
-        "block", r.row_id, "own", at, *keep, elements("xs")
-    )
+    return blocks.repartition(parts, "block"), at
+
+
+def feature_rows(
+    df: DataFrame, r: Roles, wanted: IndicatorSet, keep: Sequence[str], block_rows: int | None, rows: int
+) -> DataFrame:
+    """One row per (block, row, feature): ``block, row_id, own, at, *keep, f, x``."""
+    blocks, at = feature_blocks(df, r, wanted, keep, block_rows, rows)
+    return blocks.select("block", r.row_id, "own", at, *keep, elements("xs"))
+
+
+def indicator_arrays(
+    df: DataFrame,
+    r: Roles,
+    wanted: IndicatorSet,
+    keep: Sequence[str],
+    groups: Sequence[Sequence[str]],
+    block_rows: int | None,
+    rows: int,
+) -> DataFrame:
+    """What ``indicator_rows`` computes, one row per row: ``row_id, *keep, xs, group_0, group_1, ...``.
+
+    Each of ``groups`` names families; their outputs lie side by side in its array, by family,
+    feature and output. Blocks stream through numpy in order of their rows, so a task holds
+    some rows of a block and the look-back before them. ``row_id`` must count the rows without holes.
+    """
+    width, families = len(feature_columns(df, r.features)), wanted.outputs()
+    names = [[families[f] for f in group if families[f]] for group in groups]
+    derive = _block_indicators(names, wanted.look_back, wanted.fill == "pad")
+    total = sum(len(outputs) for group in names for outputs in group)
+    most = max(256, _CHUNK // (width * max(1, total)))
+    blocks, at = feature_blocks(df, r, wanted, keep, block_rows, rows)
+    ordered = blocks.select("block", "own", at, "xs", r.row_id, *keep).sortWithinPartitions("block", r.row_id)
+    labels = [f"group_{i}" for i in range(len(groups))]
+
+    def lists(values: np.ndarray) -> pa.ListArray:
+        values[~np.isfinite(values)] = np.nan
+        ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), from_pandas=True))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, earlier = None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                blocks = part.column(0).to_numpy()
+                own = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                place = part.column(2).to_numpy()
+                x = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
+                made = []
+                for a, b in zip(edges, edges[1:]):
+                    if blocks[a] != block:
+                        block, earlier = blocks[a], None
+                    values, earlier = derive(x[a:b], place[a:b], earlier)
+                    made.append([v[own[a:b]] for v in values])
+                kept = part.filter(pa.array(own))
+                arrays = [lists(np.concatenate([m[i] for m in made])) for i in range(len(labels))]
+                columns = [kept.column(i) for i in range(4, kept.num_columns)] + [kept.column(3), *arrays]
+                yield pa.RecordBatch.from_arrays(columns, names=out)
+
+    fields = [ordered.schema[c] for c in (r.row_id, *keep)]
+    fields += [StructField(c, ArrayType(DoubleType())) for c in ("xs", *labels)]
+    out = [f.name for f in fields]
+    return ordered.mapInArrow(stream, StructType(fields))
+
+
+_CHUNK = 1 << 21  # derived values at a time: 16 MB
+
+
+def _block_indicators(groups: list[list[list[str]]], look_back: int, pad: bool) -> Callable:
+    """A function of some rows of a block: their outputs, and what the block's next rows need of them.
+
+    Sums run from a window's oldest row to its newest, as Spark's do. A missing value is NaN and
+    makes what is computed of it NaN. Nested throughout, as it travels to the tasks by value.
+    """
+    reach = look_back + 1
+
+    def ratio_of(a, b):
+        return np.where(b == 0, np.nan, a / b)
+
+    def derive(x, at, earlier):
+        n, width = x.shape
+        if earlier is None:
+            nothing = np.full((reach, width), np.nan)
+            earlier = nothing, np.full(reach, np.nan), nothing
+        xs = np.concatenate([earlier[0], x])
+        ats = np.concatenate([earlier[1], at])
+        filled = np.concatenate([earlier[2], x])
+        if pad:
+            last = np.where(np.isnan(filled), 0, np.arange(len(filled))[:, None])
+            filled = np.take_along_axis(filled, np.maximum.accumulate(last, axis=0), axis=0)
+        made: dict = {}
+
+        def back(v, rows):
+            return v[reach - rows : reach - rows + n]
+
+        def window(v, size):
+            return [back(v, size - 1 - i) for i in range(size)]
+
+        def once(key, compute, *args):
+            if key not in made:
+                made[key] = compute(*args)
+            return made[key]
+
+        def mean(size):
+            rows = window(xs, size)
+            total = rows[0]
+            for row in rows[1:]:
+                total = total + row
+            return total / size
+
+        def lowest(size):
+            return np.minimum.reduce(window(xs, size))
+
+        def highest(size):
+            return np.maximum.reduce(window(xs, size))
+
+        def deviation_of(v, size):
+            rows, avg, m2 = window(v, size), 0.0, 0.0
+            for i, row in enumerate(rows):
+                apart = row - avg
+                part = apart / (i + 1.0)
+                avg, m2 = avg + part, m2 + apart * (apart - part)
+            flat = np.minimum.reduce(rows) == np.maximum.reduce(rows)
+            return np.where(flat, 0.0, np.sqrt(m2 / (size - 1.0)) if size > 1 else np.nan)
+
+        def slope(size):
+            t, y, c, m2 = 0.0, 0.0, 0.0, 0.0
+            for i, (place, row) in enumerate(zip(window(ats[:, None], size), window(xs, size))):
+                count, dt = i + 1.0, place - t
+                part = dt / count
+                t, y = t + part, y + (row - y) / count
+                c, m2 = c + dt * (row - y), m2 + dt * (dt - part)
+            return ratio_of(c, m2)
+
+        def quartiles(size):
+            rows = np.stack(window(xs, size), axis=-1)
+            whole = ~np.isnan(rows).any(axis=-1)
+            rows = np.sort(rows, axis=-1)
+            found = []
+            for q in (0.25, 0.75):
+                spot = (size - 1) * q
+                low = rows[..., int(spot)]
+                step = rows[..., min(int(spot) + 1, size - 1)] - low
+                found.append(np.where(whole, low + step * (spot - int(spot)), np.nan))
+            return found
+
+        def gains():
+            found = np.full_like(filled, np.nan)
+            found[1:] = ratio_of(filled[1:], filled[:-1]) - 1
+            return found
+
+        def output(name):
+            kind, size = name.rsplit("_", 1)
+            w = int(size)
+            match kind:
+                case "lag":
+                    return back(xs, w)
+                case "mean":
+                    return once(("mean", w), mean, w)
+                case "std":
+                    return once(("std", w), deviation_of, xs, w)
+                case "min":
+                    return once(("min", w), lowest, w)
+                case "max":
+                    return once(("max", w), highest, w)
+                case "zscore":
+                    return ratio_of(x - output(f"mean_{w}"), output(f"std_{w}"))
+                case "pct_from_mean":
+                    return ratio_of(x, output(f"mean_{w}")) - 1
+                case "return":
+                    return ratio_of(back(filled, 0), back(filled, w)) - 1
+                case "momentum":
+                    return ratio_of(x, back(xs, w)) - 1
+                case "roc":
+                    return ratio_of(x - back(xs, w), back(xs, w))
+                case "trend":
+                    return slope(w)
+                case "volatility":
+                    return deviation_of(once("gains", gains), w)
+                case "atr":
+                    return ratio_of(output(f"max_{w}") - output(f"min_{w}"), output(f"mean_{w}"))
+                case "cv":
+                    return ratio_of(output(f"std_{w}"), output(f"mean_{w}"))
+                case "q25":
+                    return once(("quartiles", w), quartiles, w)[0]
+                case "q75":
+                    return once(("quartiles", w), quartiles, w)[1]
+                case "iqr":
+                    return output(f"q75_{w}") - output(f"q25_{w}")
+                case "above_q75":
+                    return x > output(f"q75_{w}")
+                case "below_q25":
+                    return x < output(f"q25_{w}")
+            raise ValueError(f"Unknown indicator: {name}")
+
+        with np.errstate(all="ignore"):
+            values = [np.empty((n, width * sum(map(len, group)))) for group in groups]
+            for group, into in zip(groups, values):
+                begin = 0
+                for outputs in group:
+                    family = into[:, begin : begin + width * len(outputs)]
+                    for i, name in enumerate(outputs):
+                        family[:, i :: len(outputs)] = output(name)
+                    begin += width * len(outputs)
+        return values, (xs[-reach:], ats[-reach:], filled[-reach:])
+
+    return derive
 
 
 def indicator_rows(

@@ -1,5 +1,7 @@
 """Indicators against pandas on hand-made edge cases."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from quantloom import Roles
 from quantloom.operators import indicators as ind
 from quantloom.operators.crosssection import CROSS_SECTION, cross_section, interactions
 from quantloom.operators.featureset import all_features, feature_names, feature_summary, unpack_features
+from quantloom.operators.indicators import ALL_INDICATORS, IndicatorSet, indicator_rows
 
 R = Roles()
 
@@ -150,3 +153,41 @@ def test_all_features_are_named_in_family_order(spark, table):
 def test_default_width_of_130_features(spark):
     df = spark.createDataFrame([], "row_id long, " + ", ".join(f"feature_{i} double" for i in range(130)))
     assert feature_summary(df, R).groupBy().sum("columns").first()[0] == 6951
+
+
+@pytest.mark.parametrize("step,fill", [(1, "pad"), (3, "pad"), (1, None)])
+def test_arrays_hold_what_the_rows_hold(spark, monkeypatch, step, fill):
+    """Every family from streamed blocks, with gaps, constant runs and blocks of few rows, to the last bit of Spark's windows."""
+    monkeypatch.setattr(ind, "_CHUNK", 7_000)  # several chunks in a block
+    rng = np.random.default_rng(21)
+    n = 1400
+    x = np.column_stack([rng.normal(size=n).round(1), rng.integers(-2, 3, n), rng.normal(size=n) * 1e-3])
+    x[300:380, 0] = x[500:1100, 1] = np.nan  # a gap longer than a block
+    x[rng.random((n, 3)) < 0.03] = np.nan
+    x[900:940, 2] = 0.3
+    pdf = pd.DataFrame(x, columns=[f"feature_{i}" for i in range(3)]).assign(row_id=np.arange(n) * step, tag="a")
+    df = spark.createDataFrame(pdf)
+    wanted = replace(ALL_INDICATORS, quantile_windows=(20,), fill=fill)
+    made = all_features(df, R, wanted, ["tag"], block_rows=256)
+    names = feature_names(made)
+    got = {r["row_id"]: r["features"] for r in made.select("row_id", "features").collect()}
+    assert "slope" not in made.select("features")._jdf.queryExecution().optimizedPlan().toString()
+    outputs = wanted.names()
+    seen = 0
+    for row in indicator_rows(df, R, wanted, block_rows=256).collect():
+        values = dict(zip(names, got[row["row_id"]]))
+        for o in outputs:
+            want, have = row[o], values[f"feature_{row['f']}_{o}"]
+            want = None if want is None or not np.isfinite(want) else float(want)
+            assert have == want or (have is not None and want is not None and np.isclose(have, want, rtol=1e-12, atol=0)), (row, o, have)
+            seen += 1
+    assert seen == n * 3 * len(outputs) and len(got) == n
+
+
+def test_features_of_repeated_row_ids(spark):
+    """Rows that share an id stay rows of their own, each with all features."""
+    df = spark.createDataFrame([(i // 2, float(i), float(-i)) for i in range(40)], "row_id long, feature_0 double, feature_1 double")
+    made = all_features(df, R, IndicatorSet(lags=(1,), windows=(3,)))
+    rows = made.collect()
+    assert len(rows) == 40 and {len(r["features"]) for r in rows} == {len(feature_names(made))}
+    assert sorted(r["row_id"] for r in rows) == sorted([*range(20)] * 2)
